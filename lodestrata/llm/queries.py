@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import neighbours, packing, splitting, tokens
-from lodestrata.sources.tables import table
+from lodestrata.llm import neighbours, packing, provenance, splitting, syntax, tokens
+from lodestrata.sources.tables import FILE_EVENTS, current_contents, latest_contents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,15 @@ PIECE_OVERLAP = 200
 BIN_CAPACITY = 2048
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    checked = syntax.check_files(current_contents(table(spark, directory, "file_changes")))
+    return checked.where("NOT valid").select(F.col("path").alias("file_path"))
+
+
+def p4_rates(spark: SparkSession, directory: str) -> DataFrame:
+    return syntax.rates(syntax.check_files(current_contents(table(spark, directory, "file_changes"))))
+
+
 def _oversized(spark: SparkSession, directory: str, limit: int) -> DataFrame:
     """Changes with content above the limit and the symbol boundaries of their text.
 
@@ -50,6 +59,22 @@ def p5_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return pieces.select(F.col("item").alias("change_id"), "piece", "start", "finish", "boundary", "n_pieces", "text")
 
 
+def _judged_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Every path of a file event or a concept, with its latest content where there is one."""
+    files = latest_contents(table(spark, directory, "file_changes")).where("last_event IS NOT NULL").select("path", "content")
+    concepts = table(spark, directory, "semantic_concepts").where("file_path IS NOT NULL").select(F.col("file_path").alias("path")).distinct()
+    unknown = concepts.join(table(spark, directory, "file_changes").where(F.col("event_type").isin(*FILE_EVENTS)).select("path"), "path", "left_anti")
+    return provenance.classify(files.unionByName(unknown.withColumn("content", F.lit(None).cast("string"))))
+
+
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _judged_files(spark, directory).where("kind IS NOT NULL").select(F.col("path").alias("file_path"))
+
+
+def p6_kinds(spark: SparkSession, directory: str) -> DataFrame:
+    return _judged_files(spark, directory).select(F.col("path").alias("file_path"), F.coalesce("kind", F.lit("hand_written")).alias("kind"), "reason")
+
+
 def _vectors(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "vectors").select("id", F.col("concept_type").alias("kind"), "embedding")
 
@@ -83,8 +108,12 @@ def p9_report(spark: SparkSession, directory: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p4_found": p4_found,
+        "p4_rates": p4_rates,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
+        "p6_found": p6_found,
+        "p6_kinds": p6_kinds,
         "p7_found": p7_found,
         "p7_neighbours": p7_neighbours,
         "p7_neighbours_in_type": p7_neighbours_in_type,
