@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import neighbours, packing, provenance, splitting, syntax, tokens
+from lodestrata.llm import docpairs, neighbours, packing, provenance, splitting, syntax, tokens, truncation
+from lodestrata.session import durable
 from lodestrata.sources.tables import FILE_EVENTS, current_contents, latest_contents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,42 @@ PIECE_OVERLAP = 200
 BIN_CAPACITY = 2048
 
 
+def _documented(spark: SparkSession, directory: str) -> DataFrame:
+    """Functions and methods of symbols and concepts with their documentation, judged."""
+    symbols = (
+        table(spark, directory, "symbols").where(F.col("kind").isin("function", "method", "constructor"))
+        .select("symbol_id", F.col("file_path").alias("path"), "name", "signature", F.when(F.col("kind") == "constructor", F.col("parent")).alias("context"), F.col("start_line").alias("line"), "end_line", "docstring")
+        .dropDuplicates(["symbol_id"])
+    )
+    silent = symbols.where("docstring IS NULL")
+    contents = latest_contents(table(spark, directory, "file_changes"))
+    comments = docpairs.attached_comments(silent.select("path", "line"), contents)
+    common = [F.col("symbol_id").cast("string").alias("record_id"), "path", "name", "signature", "context", "line", "end_line"]
+    spoken = symbols.where("docstring IS NOT NULL").select(*common, F.col("docstring").alias("doc"))
+    read = silent.join(comments, ["path", "line"]).select(*common, "doc")
+    concepts = (
+        table(spark, directory, "semantic_concepts").where(F.col("concept_type").isin("function", "method") & F.col("description").isNotNull())
+        .select(F.col("id").alias("record_id"), F.col("file_path").alias("path"), "name", "signature", F.lit(None).cast("string").alias("context"), F.col("line_start").alias("line"), F.col("line_end").alias("end_line"), F.col("description").alias("doc"))
+        .dropDuplicates(["record_id"])
+    )
+    of = lambda frame, name: frame.withColumn("table_name", F.lit(name))
+    return docpairs.judge(of(spoken.unionByName(read), "symbols").unionByName(of(concepts, "semantic_concepts"))).where("informative")
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _documented(spark, directory).select("table_name", "record_id").distinct()
+
+
+def p1_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    found = durable(_documented(spark, directory))
+    contents = latest_contents(table(spark, directory, "file_changes"))
+    spans = found.where("table_name = 'symbols'").select("path", F.col("line").alias("start"), F.col("end_line").alias("finish"))
+    code = docpairs.code_of(spans, contents).select("path", F.col("start").alias("line"), F.col("finish").alias("end_line"), "code")
+    return found.join(code, ["path", "line", "end_line"], "left").select(
+        "table_name", "record_id", "name", F.coalesce(F.when(F.col("table_name") == "symbols", F.col("code")), "signature", "name").alias("code"), "description"
+    )
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     checked = syntax.check_files(current_contents(table(spark, directory, "file_changes")))
     return checked.where("NOT valid").select(F.col("path").alias("file_path"))
@@ -106,8 +143,27 @@ def p9_report(spark: SparkSession, directory: str) -> DataFrame:
     return packing.fill_report(packed, BIN_CAPACITY)
 
 
+def _judged_documents(spark: SparkSession, directory: str) -> DataFrame:
+    return truncation.truncated(table(spark, directory, "documents").select("doc_id", "source", "text"))
+
+
+def p10_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _judged_documents(spark, directory).where("truncated").select("doc_id")
+
+
+def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
+    return truncation.shares(_judged_documents(spark, directory))
+
+
+def p10_limits(spark: SparkSession, directory: str) -> DataFrame:
+    ends = durable(truncation.endings(table(spark, directory, "documents")))
+    return truncation.length_hazards(ends).where("significant").drop("significant")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_pairs": p1_pairs,
         "p4_found": p4_found,
         "p4_rates": p4_rates,
         "p5_found": p5_found,
@@ -120,6 +176,9 @@ def queries() -> dict[str, Query]:
         "p8_ids": p8_ids,
         "p9_bins": p9_bins,
         "p9_report": p9_report,
+        "p10_found": p10_found,
+        "p10_shares": p10_shares,
+        "p10_limits": p10_limits,
     }
 
 
