@@ -139,10 +139,11 @@ def imports(files: DataFrame) -> DataFrame:
 
     Python modules lose their leading dots, which become the level; './' and '../' of scripts become levels too.
     """
-    entries = []
-    for lang, kind, pattern, group in IMPORT_RULES:
+    def entry(lang: str, kind: str, pattern: str, group: int) -> Column:
         found = F.when(F.col("language") == lang, F.regexp_extract_all("content", F.lit(rules.java(pattern)), group)).otherwise(F.array().cast("array<string>"))
-        entries.append(F.transform(found, lambda m, k=kind: F.struct(F.lit(k).alias("rule_kind"), m.alias("raw"))))
+        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("rule_kind"), m.alias("raw")))
+
+    entries = [entry(*rule) for rule in IMPORT_RULES]
     raw = F.col("raw")
     dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
     script = F.col("language").isin("typescript", "javascript") & raw.startswith(".")

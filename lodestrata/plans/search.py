@@ -161,6 +161,9 @@ def oracle_sql() -> dict[str, str]:
         "pattern_search_guarded": "SELECT '' AS path, 0 AS n_matches, 0 AS n_rules, 0.0 AS score WHERE false",
         "pattern_rule_counts": f"""WITH {FILES} SELECT rule, sum(n)::BIGINT AS n_matches, count(*) AS n_files FROM (
             SELECT rule, len(regexp_extract_all(content, pattern)) AS n FROM files, {SEARCH_RULE_VALUES} WHERE lang IS NULL OR lang = language) WHERE n > 0 GROUP BY rule""",
+        "pattern_spans": f"""WITH {FILES}, l AS (SELECT path, language, x.t AS t, x.i AS i FROM (SELECT path, language, unnest(list_transform(string_split(content, chr(10)), lambda t, i: {{'t': t, 'i': i}})) AS x FROM files))
+            SELECT path, 'py_class' AS rule, i::INT AS line_start, 1 AS column_start, regexp_extract(t, '^class[ \\t]+\\w+') AS matched_text FROM l WHERE language = 'python' AND regexp_matches(t, '^class[ \\t]+\\w+')
+            UNION ALL SELECT path, 'go_struct', i::INT, 1, regexp_extract(t, '^type[ \\t]+\\w+[ \\t]+struct') FROM l WHERE language = 'go' AND regexp_matches(t, '^type[ \\t]+\\w+[ \\t]+struct')""",
         "pattern_catalogue": f"SELECT rule AS name, lang AS language FROM {SEARCH_RULE_VALUES} WHERE lang IS NULL OR lang = 'python'",
         "vector_topk": _vector_sql(_ONE_VECTOR, "id", "", 10),
         "vector_filtered": _vector_sql(_ONE_VECTOR, "id", "AND language = 'python'", 10),
