@@ -9,6 +9,7 @@ and remembered per class string, as is the verdict on each statement. Equal shap
 from __future__ import annotations
 
 import re
+import sys
 
 from lodestrata.llm.lexing import tokenize
 
@@ -18,6 +19,26 @@ _FIRST_GROUP = 0x20000
 _LAST_GROUP = 0x10FFFF
 
 
+#: Passes over a text that each replace its innermost groups; deeper texts are reduced with a stack.
+_PASSES = 60
+#: Groups are read inside one another, so deep texts need a deep stack.
+_DEPTH = 30_000
+
+
+def reduce_nested(flat: str, symbol) -> str:  # noqa: ANN001
+    """Replace bracket groups from the inside out in one pass, however deep they lie; brackets without a partner stay."""
+    stack: list[list[str]] = [[]]
+    for c in flat:
+        if c in "([{":
+            stack.append([c])
+        elif c in ")]}" and len(stack) > 1 and stack[-1][0] + c in ("()", "[]", "{}"):
+            text = "".join(stack.pop()) + c
+            stack[-1].append(symbol(text))
+        else:
+            stack[-1].append(c)
+    return "".join(c for part in stack for c in part)
+
+
 class Wrong(Exception):
     """The text does not fit the grammar at this place."""
 
@@ -38,6 +59,7 @@ class Language:
         self.code |= {c: c for c in "{}()[];,<>+-*/%&|^!~?:=.@"}
         self.soft_codes = frozenset(self.code[w] for w in self.soft)
         self.word_codes = frozenset(self.code[w] for w in words)
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), _DEPTH))
         self.reset()
 
     def reset(self) -> None:
@@ -71,7 +93,9 @@ class Language:
         return "".join([known(t) or self.classify(t) for t in tokens])
 
     def _group(self, match: re.Match) -> str:
-        text = match.group()
+        return self._symbol(match.group())
+
+    def _symbol(self, text: str) -> str:
         symbol = self.groups.get(text)
         if symbol is None:
             symbol = self.groups[text] = chr(_FIRST_GROUP + len(self.bodies))
@@ -88,11 +112,13 @@ class Language:
         if BAD in flat:
             return False
         flat = self.prepare(flat)
-        while True:
+        for _ in range(_PASSES):
             smaller = _GROUP.sub(self._group, flat)
             if smaller == flat:
                 break
             flat = smaller
+        else:
+            flat = reduce_nested(flat, self._deep_symbol)
         if any(c in flat for c in "()[]{}"):
             return False
         try:
@@ -100,6 +126,14 @@ class Language:
         except (Wrong, IndexError, RecursionError):
             return False
 
+    def _deep_symbol(self, text: str) -> str:
+        """The group's symbol, with all its roles decided, so that groups around it need not descend into it."""
+        symbol = self._symbol(text)
+        for name in dir(self.reader("")):
+            if name.startswith("role_"):
+                self.fits(symbol, name.removeprefix("role_"))
+        return symbol
+
     def prepare(self, flat: str) -> str:
         return flat
 

@@ -56,7 +56,7 @@ def p1_pairs(spark: SparkSession, directory: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     checked = syntax.check_files(current_contents(table(spark, directory, "file_changes")))
-    return checked.where("NOT valid").select(F.col("path").alias("file_path"))
+    return checked.where("NOT valid").select(F.col("path").alias("file_path")).distinct()
 
 
 def p4_rates(spark: SparkSession, directory: str) -> DataFrame:
@@ -148,7 +148,7 @@ def _judged_documents(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, directory: str) -> DataFrame:
-    return _judged_documents(spark, directory).where("truncated").select("doc_id")
+    return _judged_documents(spark, directory).where("truncated").select("doc_id").distinct()
 
 
 def p10_shares(spark: SparkSession, directory: str) -> DataFrame:

@@ -20,16 +20,19 @@ from lodestrata.sources.tables import path_extension, path_repository
 LANGUAGES = ("py", "js", "ts", "go", "java", "json")
 
 _JSON_CLASS = {"true": "v", "false": "v", "null": "v"} | {c: c for c in "{}[],:"}
+#: Passes over nested values; deeper ones are reduced with a stack.
+_PASSES = 60
 _JSON_GROUP = re.compile(r"\{(?:s:[snv](?:,s:[snv])*)?\}|\[(?:[snv](?:,[snv])*)?\]")
 
 
 def _json_fits(tokens: list[str]) -> bool:
     flat = "".join([_JSON_CLASS.get(t) or ("s" if t[0] == '"' and len(t) > 1 else "n" if t[-1].isdigit() else "?") for t in tokens])
-    while True:
+    for _ in range(_PASSES):
         smaller = _JSON_GROUP.sub("v", flat)
         if smaller == flat:
             return flat in ("s", "n", "v")
         flat = smaller
+    return grammar.reduce_nested(flat, lambda text: "v" if _JSON_GROUP.fullmatch(text) else "?") in ("s", "n", "v")
 
 
 def is_valid(text: str, lang: str) -> bool:

@@ -36,6 +36,7 @@ _APPENDED = re.compile(
     r"|(?:read|show|see|view) more\W{0,3}|\.\.\.|…|�+|»{2}|>{2})\s*$",
     re.IGNORECASE,
 )
+_APPENDED_MOST = 200
 #: Closing phrases that end in dots on purpose.
 _TRAILING_OFF = re.compile(
     r"(?:and so on|and so forth|more to come|to be continued|etc|und so weiter|usw|fortsetzung folgt|mehr folgt|et ainsi de suite|à suivre|la question reste ouverte|y así sucesivamente|continuará|la pregunta sigue abierta|die frage bleibt offen|wait for it|hmm+|we will see|let us see)$",
@@ -87,8 +88,10 @@ def analyse(text: str | None) -> tuple[str, str, str, int, int]:
     if not text or not text.strip():
         return "whole", "", "", 0, 0
     stripped = text.rstrip()
-    appended = _APPENDED.search(stripped)
-    base = stripped[: appended.start()] if appended else stripped
+    # What is appended is short, so it is looked for in the last characters only.
+    tail = max(0, len(stripped) - _APPENDED_MOST)
+    appended = _APPENDED.search(stripped, tail)
+    base = stripped[: appended.start()].rstrip() if appended else stripped
     n_chars, n_bytes = len(base), len(base.encode())
     if not appended:
         n_chars, n_bytes = len(text), len(text.encode())
