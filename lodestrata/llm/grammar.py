@@ -1565,7 +1565,11 @@ class JavaReader(Reader):
             else:
                 self.need("default")
             if self.skip("->"):
-                self.statement()
+                if self.is_group("{") or self.on("throw"):
+                    self.statement()
+                else:
+                    self.expression()
+                    self.need(";")
             else:
                 self.need(":")
                 while not self.done() and not self.on("case") and not (self.on("default") and self.next_is(":", "->")):
