@@ -112,7 +112,7 @@ def cyclomatic(text: Column, language: str = "python") -> Column:
         total = total + literal_count(text, sign)
     if language == "python":
         total = total - F.floor(F.regexp_count(text, F.lit(r"\bif\b[^\n]*\belse\b")) / 2).cast("int")
-    return F.greatest(total, F.lit(1)).cast("int")
+    return F.when(text.isNotNull(), F.greatest(total, F.lit(1))).cast("int")
 
 
 def cognitive(text: Column) -> Column:

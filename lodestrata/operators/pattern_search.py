@@ -61,7 +61,7 @@ def search(files: DataFrame, query: str, key: str = "path", limit: int = 50) ->
     counted = files.select(key, "content", total.alias("ruled"), distinct.alias("hit_rules"))
     custom = _count(F.substring("content", 1, MAX_TEXT), "(?im)" + query) if is_allowed(query) else F.lit(0)
     return (
-        counted.select(key, "ruled", "hit_rules", F.when(F.col("ruled") == 0, F.least(custom, F.lit(MAX_MATCHES))).otherwise(0).alias("own"))
+        counted.select(key, "ruled", "hit_rules", F.when((F.coalesce("ruled", F.lit(0)) == 0) & F.col("content").isNotNull(), F.least(custom, F.lit(MAX_MATCHES))).otherwise(0).alias("own"))
         .select(key, (F.col("ruled") + F.col("own")).cast("long").alias("n_matches"), F.when(F.col("own") > 0, 1).otherwise(F.col("hit_rules")).cast("long").alias("n_rules"))
         .where("n_matches > 0")
         .withColumn("score", F.round(score(F.col("n_matches"), F.col("n_rules")), 6))
