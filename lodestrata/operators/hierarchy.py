@@ -31,7 +31,8 @@ def name_links(nodes: DataFrame) -> DataFrame:
     node whose ``children`` list the trimmed name. Names that match nothing give no parent. Of several nodes
     that match, the one with the least id counts. Repeated ids count once.
     """
-    one = nodes.select("group", "id", "name", "parent", "children").dropDuplicates(["id"])
+    # Several joins read the nodes, so their deduplication is done once.
+    one = durable(nodes.select("group", "id", "name", "parent", "children").dropDuplicates(["id"]))
     trimmed = F.trim(F.regexp_replace("parent", r"^\s+|\s+$", ""))
     wanted = one.withColumn("wanted", F.when(trimmed != "", trimmed))
     index = one.where(F.col("name").isNotNull()).groupBy("group", "name").agg(F.min("id").alias("parent_id"))
