@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.store import latest_per_key
+from lodestrata.operators.stretches import scan
 
 DEBOUNCE = "500 milliseconds"
 
@@ -39,20 +41,61 @@ def matches(path: Column, globs: list[str]) -> Column:
     return hit
 
 
+_RUNS = "stretch int, edge boolean, key string, number long, started long, ended long, n_events long, last_id long, event_type string, ts timestamp_ntz"
+
+
 def debounce(events: DataFrame, gap_seconds: float = 0.5, key: str = "path", order: str = "change_id") -> DataFrame:
     """The last event of each run of events of a path that follow one another within the gap: (key, n_events, order, event_type, ts).
 
-    Batch form: runs are found with lag and a running sum. Rows that repeat ``order`` count once.
+    Batch form. Rows that repeat ``order`` count once. Each task folds the runs of its stretch; a stretch's first and last run,
+    which may go on in its neighbours, are joined afterwards, so their number is at most two per task.
     """
-    one = events.select(key, order, "event_type", "ts").dropDuplicates([order])
-    by_time = Window.partitionBy(key).orderBy("ts", order)
+    micros = int(gap_seconds * 1_000_000)
+    kind = dict(events.dtypes)[key]
     # Whole microseconds; a difference of seconds as floating point would not be exact.
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    opened = F.when(F.coalesce(micros - F.lag(micros).over(by_time), F.lit(1 << 62)) >= int(gap_seconds * 1_000_000), 1).otherwise(0)
-    runs = one.withColumn("opened", opened).withColumn("run", F.sum("opened").over(by_time))
-    return runs.groupBy(key, "run").agg(
-        F.count(F.lit(1)).alias("n_events"), F.max(F.struct("ts", order, "event_type")).alias("last")
-    ).select(key, "n_events", F.col(f"last.{order}").alias(order), "last.event_type", "last.ts")
+    one = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("id"), "event_type", "ts").dropDuplicates(["id"])
+    timed = one.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+
+    def step(stretch: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # the run that may still grow, as one row
+        number = 0
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            keys, at = batch["key"].to_numpy(object), batch["at"].to_numpy(np.int64)
+            goes_on = held is not None and held["key"].iloc[0] == keys[0] and at[0] - held["ended"].iloc[0] < micros
+            starts = np.r_[True, (keys[1:] != keys[:-1]) | (at[1:] - at[:-1] >= micros)]
+            begin = np.flatnonzero(starts)
+            last = np.r_[begin[1:], n] - 1
+            found = pd.DataFrame(
+                {"stretch": stretch, "edge": False, "key": keys[begin], "number": 0, "started": at[begin], "ended": at[last], "n_events": last - begin + 1,
+                 "last_id": batch["id"].to_numpy()[last], "event_type": batch["event_type"].to_numpy(object)[last], "ts": batch["ts"].to_numpy()[last]}
+            )
+            if goes_on:
+                found.loc[0, "started"] = held["started"].iloc[0]
+                found.loc[0, "n_events"] += held["n_events"].iloc[0]
+            elif held is not None:
+                found = pd.concat([held, found], ignore_index=True)
+            found["number"] = number + np.arange(len(found))
+            found["edge"] = found["number"] == 0
+            number += len(found) - 1
+            held = found.iloc[-1:]
+            yield found.iloc[:-1]
+        if held is not None:
+            yield held.assign(edge=True)
+
+    runs = scan(timed, ["key", "at", "id"], step, _RUNS)
+    by_place = Window.partitionBy("key").orderBy("stretch", "number")
+    opened = F.when(F.col("started") - F.lag("ended").over(by_place) < micros, 0).otherwise(1)
+    edges = runs.where("edge").withColumn("opened", opened).withColumn("run", F.sum("opened").over(by_place))
+    joined = edges.groupBy("key", "run").agg(F.sum("n_events").alias("n_events"), F.max(F.struct("ended", "last_id", "event_type", "ts")).alias("l"))
+    whole = runs.where("NOT edge").select("key", "n_events", "last_id", "event_type", "ts").unionByName(joined.select("key", "n_events", "l.last_id", "l.event_type", "l.ts"))
+    return whole.select(F.col("key").cast(kind).alias(key), "n_events", F.col("last_id").alias(order), "event_type", "ts")
+
+
+def _columns(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
 
 def debounce_stream(events: DataFrame, gap: str = DEBOUNCE, lateness: str = "10 minutes", key: str = "path") -> DataFrame:
@@ -66,18 +109,55 @@ def debounce_stream(events: DataFrame, gap: str = DEBOUNCE, lateness: str = "10
     )
 
 
+_CHANGES = "stretch int, is_end boolean, key string, id long, event_type string, ts timestamp_ntz, hash string, known string, told boolean"
+
+
 def changed(events: DataFrame, key: str = "path", order: str = "change_id") -> DataFrame:
     """Events that tell something new: add and unlink always, change only if its hash differs from the last known one of the path.
 
-    An unlink forgets the hash; events without a hash keep it and pass. Repeated rows count once.
+    An unlink forgets the hash; events without a hash keep it and pass. Repeated rows count once. Each task scans its
+    stretch; events before the first known hash of a key that began in an earlier stretch take it from there.
     """
-    one = events.select(key, order, "event_type", "ts", "hash").dropDuplicates([order])
-    before = Window.partitionBy(key).orderBy("ts", order).rowsBetween(Window.unboundedPreceding, -1)
-    # The mark of an unlink is an empty hash, so that the last value is the state before the event.
-    state = F.when(F.col("event_type") == "unlink", "").otherwise(F.col("hash"))
-    known = F.last(state, ignorenulls=True).over(before)
-    repeated = (F.col("event_type") == "change") & F.col("hash").isNotNull() & F.coalesce(known == F.col("hash"), F.lit(False))
-    return one.withColumn("repeated", repeated).where("NOT repeated").select(key, order, "event_type", "ts", "hash")
+    one = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("id"), "event_type", "ts", "hash").dropDuplicates(["id"])
+
+    def step(stretch: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key_now, known_now, told_now = None, None, False
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            keys, hashes = batch["key"].to_numpy(object), batch["hash"].to_numpy(object)
+            gone = batch["event_type"].to_numpy(object) == "unlink"
+            sets = gone | batch["hash"].notna().to_numpy()
+            first = np.maximum.accumulate(np.where(np.r_[keys[0] != key_now, keys[1:] != keys[:-1]], np.arange(n), -1))
+            setter = np.maximum.accumulate(np.where(sets, np.arange(n), -1))
+            before = np.r_[-1, setter[:-1]]
+            here = before >= np.maximum(first, 0)
+            carried = (first < 0) & ~here
+            state = np.where(gone, None, hashes)
+            known = np.where(here, state[np.maximum(before, 0)], np.where(carried, known_now, None))
+            told = here | carried & told_now
+            yield batch[["key", "id", "event_type", "ts", "hash"]].assign(stretch=stretch, is_end=False, known=known, told=told)[_columns(_CHANGES)]
+            same_key = first[-1] < 0
+            ends_here = setter[-1] >= max(first[-1], 0)
+            key_now, known_now, told_now = keys[-1], state[setter[-1]] if ends_here else known_now if same_key else None, bool(ends_here or same_key and told_now)
+        if told_now:
+            yield pd.DataFrame([(stretch, True, key_now, None, None, pd.NaT, None, known_now, True)], columns=_columns(_CHANGES))
+
+    rows = scan(one, ["key", "ts", "id"], step, _CHANGES)
+    # One row per task at most.
+    ends = F.broadcast(rows.where("is_end").select(F.col("stretch").alias("from"), F.col("key").alias("k"), F.struct("known").alias("before")))
+    events_only = rows.where("NOT is_end")
+    open_rows = events_only.where("NOT told AND event_type = 'change' AND hash IS NOT NULL")
+    settled = (
+        open_rows.join(ends, (F.col("key") == F.col("k")) & (F.col("from") < F.col("stretch")), "left")
+        .groupBy("key", "id", "event_type", "ts", "hash").agg(F.max_by("before", "from").alias("before"))
+        .where(~F.coalesce(F.col("before.known") == F.col("hash"), F.lit(False)))
+    )
+    plain = events_only.where("told OR event_type <> 'change' OR event_type IS NULL OR hash IS NULL")
+    fresh = plain.where(~((F.coalesce("event_type", F.lit("")) == "change") & F.coalesce(F.col("known") == F.col("hash"), F.lit(False))))
+    kept = fresh.select("key", "id", "event_type", "ts", "hash").unionByName(settled.select("key", "id", "event_type", "ts", "hash"))
+    return kept.select(F.col("key").alias(key), F.col("id").alias(order), "event_type", "ts", "hash")
 
 
 def changed_stream(events: DataFrame, key: str = "path") -> DataFrame:

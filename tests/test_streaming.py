@@ -25,6 +25,22 @@ def test_content_changes(spark):
     assert changes.changed(events(spark, ROWS).limit(0)).count() == 0
 
 
+def test_hot_path_spread_over_tasks(spark):
+    rows = [(i, "hot", ["add", "change", "change", "unlink"][i % 4] if i % 7 else "change", i * 130 + (i // 5) * 600, f"h{i // 3 % 4}" if i % 6 else None) for i in range(500)]
+    known, fresh, runs = None, set(), []
+    for i, _, kind, ms, h in rows:
+        if not (kind == "change" and h is not None and h == known):
+            fresh.add(i)
+        known = None if kind == "unlink" else h if h is not None else known
+        if runs and ms - runs[-1][1] < 500:
+            runs[-1] = (runs[-1][0] + 1, ms, i)
+        else:
+            runs.append((1, ms, i))
+    frame = events(spark, rows)
+    assert {r.change_id for r in changes.changed(frame).collect()} == fresh
+    assert {(r.n_events, r.change_id) for r in changes.debounce(frame).collect()} == {(n, i) for n, _, i in runs}
+
+
 def test_streams_equal_their_batch_forms(spark, tmp_path):
     events(spark, ROWS).coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
