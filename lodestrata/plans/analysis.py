@@ -214,10 +214,10 @@ def symbols_overview(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enclosing_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """The innermost symbol around each symbol's second line."""
+    """The innermost symbol around each symbol's second line, -1 if there is none."""
     s = symbols(spark, d)
     points = s.select(F.col("symbol_id").alias("point_id"), "path", (F.col("start_line") + 1).alias("line"))
-    return nav.enclosing(points, s).select("point_id", "symbol_id")
+    return nav.enclosing(points, s).select("point_id", F.coalesce("symbol_id", F.lit(-1)).alias("symbol_id"))
 
 
 def symbol_references(spark: SparkSession, d: str) -> DataFrame:
@@ -563,7 +563,7 @@ def oracle_sql() -> dict[str, str]:
         "find_symbol_path": f"""WITH {SYMBOLS}, p AS (SELECT symbol_id, CASE WHEN qualified_name <> '' THEN string_split(qualified_name, '.') ELSE list_filter([nullif(trim(parent), ''), name], lambda x: x IS NOT NULL) END AS parts FROM syms)
             SELECT symbol_id, array_to_string(parts, '/') AS name_path FROM p WHERE len(parts) = 2 AND parts[-1] = 'size'""",
         "symbols_overview": f"WITH {SYMBOLS} SELECT path, kind, string_agg(name, ',' ORDER BY start_line, name) AS names FROM syms GROUP BY 1, 2",
-        "enclosing_symbols": f"""WITH {SYMBOLS} SELECT point_id, symbol_id FROM (SELECT a.symbol_id AS point_id, b.symbol_id, row_number() OVER (PARTITION BY a.symbol_id ORDER BY b.start_line DESC, b.end_line, b.symbol_id) AS rn
+        "enclosing_symbols": f"""WITH {SYMBOLS} SELECT point_id, coalesce(symbol_id, -1) AS symbol_id FROM (SELECT a.symbol_id AS point_id, b.symbol_id, row_number() OVER (PARTITION BY a.symbol_id ORDER BY b.start_line DESC, b.end_line, b.symbol_id) AS rn
             FROM syms a LEFT JOIN syms b ON b.path = a.path AND a.start_line + 1 BETWEEN b.start_line AND b.end_line) WHERE rn = 1""",
         "symbol_references": f"""WITH {FILES}, l AS (SELECT path, x.t AS text, x.i AS line FROM (SELECT path, unnest(list_transform(string_split(content, chr(10)), lambda t, i: {{'t': t, 'i': i}})) AS x FROM files WHERE contains(content, 'size'))),
             h AS (SELECT path, line::INT AS line, {_TRIM.format('text')} AS content FROM l WHERE regexp_matches(text, {size_word}))

@@ -118,7 +118,7 @@ _STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\v\x{{85}}\p{{Z}}]+', ''), '[
 
 
 def _text_sql(relation: str, key: str, text: str) -> str:
-    return f"""SELECT {key}, n_hits::INT AS n_hits, first_line, round(0.7 * least(n_hits / 5.0, 1.0) + 0.3 / (1.0 + n_lines / 1000.0), 6) AS score FROM (
+    return f"""SELECT {key}, n_hits::INT AS n_hits, first_line::INT AS first_line, round(0.7 * least(n_hits / 5.0, 1.0) + 0.3 / (1.0 + n_lines / 1000.0), 6) AS score FROM (
         SELECT {key}, least(count(*) FILTER (WHERE hit), 5) AS n_hits, min(line) FILTER (WHERE hit) AS first_line, count(*) AS n_lines FROM (
           SELECT {key}, contains(lower(l.text), '{text}') AS hit, l.line FROM (
             SELECT {key}, unnest(list_transform(string_split(content, chr(10)), lambda t, i: {{'text': t, 'line': i}})) AS l FROM {relation}))
@@ -158,7 +158,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT path, n_matches::BIGINT AS n_matches, n_rules::BIGINT AS n_rules, {scored} FROM own WHERE n_matches > 0 ORDER BY score DESC, n_matches DESC, path LIMIT 50""",
         "pattern_search_custom": f"""WITH {FILES}, own AS (SELECT path, {count_matches("content", "(?im)" + CUSTOM)} AS n_matches, 1 AS n_rules FROM files)
             SELECT path, n_matches::BIGINT AS n_matches, n_rules::BIGINT AS n_rules, {scored} FROM own WHERE n_matches > 0 ORDER BY score DESC, n_matches DESC, path LIMIT 50""",
-        "pattern_search_guarded": "SELECT '' AS path, 0 AS n_matches, 0 AS n_rules, 0.0 AS score WHERE false",
+        "pattern_search_guarded": "SELECT '' AS path, 0::BIGINT AS n_matches, 0::BIGINT AS n_rules, 0::DOUBLE AS score WHERE false",
         "pattern_rule_counts": f"""WITH {FILES} SELECT rule, sum(n)::BIGINT AS n_matches, count(*) AS n_files FROM (
             SELECT rule, len(regexp_extract_all(content, pattern)) AS n FROM files, {SEARCH_RULE_VALUES} WHERE lang IS NULL OR lang = language) WHERE n > 0 GROUP BY rule""",
         "pattern_spans": f"""WITH {FILES}, l AS (SELECT path, language, x.t AS t, x.i AS i FROM (SELECT path, language, unnest(list_transform(string_split(content, chr(10)), lambda t, i: {{'t': t, 'i': i}})) AS x FROM files))

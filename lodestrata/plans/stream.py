@@ -41,8 +41,9 @@ def move_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enriched_events(spark: SparkSession, d: str) -> DataFrame:
+    """size is -1 for events without content."""
     e = table(spark, d, "file_changes").select("change_id", "path", "content").dropDuplicates(["change_id"])
-    return changes.enrich(e).select("change_id", "language", "size", "hash")
+    return changes.enrich(e).select("change_id", "language", F.coalesce("size", F.lit(-1)).alias("size"), "hash")
 
 
 def watched_events(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "change_stream": changed,
         "move_events": "SELECT ts, path, 'unlink' AS event_type FROM (SELECT DISTINCT ts, path FROM file_changes WHERE event_type = 'unlink') UNION ALL SELECT ts, path || '.moved', 'add' FROM (SELECT DISTINCT ts, path FROM file_changes WHERE event_type = 'unlink')",
         "enriched_events": """SELECT DISTINCT change_id, CASE lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'json' THEN 'json' ELSE 'unknown' END AS language,
-            strlen(content)::BIGINT AS size, sha256(content) AS hash FROM file_changes""",
+            coalesce(strlen(content), -1)::BIGINT AS size, sha256(content) AS hash FROM file_changes""",
         "watched_paths": "SELECT DISTINCT path FROM file_changes WHERE NOT (contains(path, 'node_modules') OR contains(path, '.min.js') OR contains(path, 'vendor')) AND (ends_with(path, '.py') OR ends_with(path, '.ts') OR ends_with(path, '.js'))",
     }
