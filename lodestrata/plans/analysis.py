@@ -479,14 +479,17 @@ def _class_sql() -> str:
 _WORDCHARS = "A-Za-z0-9_$"
 
 
+def _concepts_sql() -> str:
+    return f"""SELECT path, name, concept_type, confidence::DOUBLE AS confidence, count(*) AS n FROM (
+        SELECT path, unnest(regexp_extract_all(content, {quoted(extraction.CLASS_RULE)}, 1)) AS name, 'class' AS concept_type, 0.9 AS confidence FROM files UNION ALL
+        SELECT path, f.n AS name, CASE WHEN f.l = '' THEN 'function' ELSE 'method' END, 0.85 FROM (SELECT path, unnest(list_zip(regexp_extract_all(content, {quoted(extraction.FUNCTION_RULE)}, 1), regexp_extract_all(content, {quoted(extraction.FUNCTION_RULE)}, 2))) AS z FROM files) t, LATERAL (SELECT z[1] AS l, z[2] AS n) f UNION ALL
+        SELECT path, unnest(regexp_extract_all(content, {quoted(extraction.CONSTANT_RULE)}, 1)), 'constant', 0.8 FROM files) GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     from lodestrata.functions.naming import PREFIXES
     from lodestrata.plans.paths import _STYLE
 
-    concepts = f"""SELECT path, name, concept_type, confidence::DOUBLE AS confidence, count(*) AS n FROM (
-        SELECT path, unnest(regexp_extract_all(content, {quoted(extraction.CLASS_RULE)}, 1)) AS name, 'class' AS concept_type, 0.9 AS confidence FROM files UNION ALL
-        SELECT path, f.n AS name, CASE WHEN f.l = '' THEN 'function' ELSE 'method' END, 0.85 FROM (SELECT path, unnest(list_zip(regexp_extract_all(content, {quoted(extraction.FUNCTION_RULE)}, 1), regexp_extract_all(content, {quoted(extraction.FUNCTION_RULE)}, 2))) AS z FROM files) t, LATERAL (SELECT z[1] AS l, z[2] AS n) f UNION ALL
-        SELECT path, unnest(regexp_extract_all(content, {quoted(extraction.CONSTANT_RULE)}, 1)), 'constant', 0.8 FROM files) GROUP BY ALL"""
     shares = " UNION ALL ".join(
         f"SELECT problem_id, {i} AS place, '{kind}' AS pattern_type, ({' + '.join(f'contains(t, {quoted(w)})::INT' for w in words)}) / {len(words)}.0 AS share FROM p" for i, (kind, words, _) in enumerate(rules.RECOMMENDATION_RULES)
     )
@@ -546,7 +549,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_cycles": f"""WITH RECURSIVE {_NATIONS}, w AS (SELECT [source] AS path, target FROM ng WHERE source <= target UNION ALL
             SELECT list_append(w.path, w.target), ng.target FROM w JOIN ng ON ng.source = w.target WHERE len(w.path) < 5 AND w.target > w.path[1] AND NOT list_contains(w.path, w.target))
             SELECT array_to_string(list_append(path, path[1]), ' -> ') AS cycle, len(path)::INT AS length, CASE WHEN len(path) <= 2 THEN 'error' ELSE 'warning' END AS severity FROM w WHERE target = path[1]""",
-        "concept_extraction": f"WITH {FILES} {concepts}",
+        "concept_extraction": f"WITH {FILES} {_concepts_sql()}",
         "pattern_detection": f"WITH {FILES}, {_detect_sql(0.5)} SELECT * FROM det",
         "naming_patterns": f"WITH {SYMBOLS}, {_segmented_sql()} SELECT path, pattern_type, frequency, confidence FROM nam",
         "class_patterns": _class_sql(),
