@@ -46,15 +46,17 @@ def detected_patterns(files: DataFrame, min_confidence: float = MIN_CONFIDENCE)
 
     All rules are literals of one projection, so a file is read once and nothing is joined.
     """
-    content = F.col("content")
+    # The counts are a column of their own, so that each rule runs once though two results use it.
+    hits = F.array(*[F.regexp_count("content", F.lit(rules.java(pattern))) for _, pattern, _ in rules.DETECTION_RULES])
     by_type: dict[str, list[tuple[Column, float]]] = {}
-    for kind, pattern, confidence in rules.DETECTION_RULES:
-        by_type.setdefault(kind, []).append((F.regexp_count(content, F.lit(rules.java(pattern))), confidence))
+    for i, (kind, _, confidence) in enumerate(rules.DETECTION_RULES):
+        by_type.setdefault(kind, []).append((F.get("hits", i), confidence))
     entries = []
     for kind, counted in by_type.items():
         best = F.greatest(*[F.when(n > 0, c).otherwise(0.0) for n, c in counted], F.lit(0.0))
         entries.append(F.struct(F.lit(kind).alias("pattern_type"), best.alias("confidence"), sum((n for n, _ in counted), F.lit(0)).cast("long").alias("frequency")))
-    return files.select("path", F.inline(F.filter(F.array(*entries), lambda e: e["confidence"] >= min_confidence)))
+    counted_files = files.select("path", hits.alias("hits"))
+    return counted_files.select("path", F.inline(F.filter(F.array(*entries), lambda e: e["confidence"] >= min_confidence)))
 
 
 def naming_patterns(symbols: DataFrame) -> DataFrame:

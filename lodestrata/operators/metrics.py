@@ -141,24 +141,23 @@ def cleaned(text: Column) -> Column:
     return text
 
 
-def halstead_counts(text: Column, language: str = "python") -> Column:
-    """struct(n1, n2, t1, t2): distinct and total operators and operands of the cleaned text."""
-    clean = cleaned(text)
-    remaining = clean
-    counts = []
-    for op in sorted(OPERATORS, key=len, reverse=True):
-        counts.append(literal_count(remaining, op))
-        remaining = F.replace(remaining, F.lit(op), F.lit(" " * len(op)))
+def operator_counts(clean: Column) -> Column:
+    """struct(n1, t1): distinct and total operators of a cleaned text; a fold that blanks what each operator has taken."""
+    operators = F.array(*[F.lit(op) for op in sorted(OPERATORS, key=len, reverse=True)])
+
+    def step(acc: Column, op: Column) -> Column:
+        size = F.length(op)
+        found = ((F.length(acc["rest"]) - F.length(F.replace(acc["rest"], op, F.lit("")))) / size).cast("int")
+        return F.struct(F.replace(acc["rest"], op, F.repeat(F.lit(" "), size)).alias("rest"), (acc["n1"] + F.when(found > 0, 1).otherwise(0)).alias("n1"), (acc["t1"] + found).alias("t1"))
+
+    start = F.struct(clean.alias("rest"), F.lit(0).alias("n1"), F.lit(0).alias("t1"))
+    return F.aggregate(operators, start, step, lambda acc: F.struct(acc["n1"].alias("n1"), acc["t1"].alias("t1")))
+
+
+def operands(clean: Column, language: str = "python") -> Column:
+    """The identifiers, without keywords, and numbers of a cleaned text."""
     names = F.filter(F.regexp_extract_all(clean, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), 0), lambda w: ~w.isin(*decision_set(language), *NO_OPERANDS))
-    numbers = F.regexp_extract_all(clean, F.lit(r"\b\d+\.?\d*\b"), 0)
-    operands = F.concat(names, numbers)
-    zero = F.lit(0)
-    return F.struct(
-        sum((F.when(c > 0, 1).otherwise(0) for c in counts), zero).alias("n1"),
-        F.size(F.array_distinct(operands)).alias("n2"),
-        sum(counts, zero).alias("t1"),
-        F.size(operands).alias("t2"),
-    )
+    return F.concat(names, F.regexp_extract_all(clean, F.lit(r"\b\d+\.?\d*\b"), 0))
 
 
 def halstead(frame: DataFrame, counts: str = "counts") -> DataFrame:
@@ -181,7 +180,14 @@ def analyse(texts: DataFrame, language: str = "python") -> DataFrame:
     """All metrics of each text: texts (…, content) keep their other columns."""
     keep = [c for c in texts.columns if c != "content"]
     content = F.col("content")
-    basic = texts.select(*keep, lines_of_code(content).alias("loc"), cyclomatic(content, language).alias("cyclomatic"), cognitive(content).alias("cognitive"), halstead_counts(content, language).alias("counts"))
+    # What several results use is a column first, so that it is computed once.
+    clean = texts.select(*keep, "content", cleaned(content).alias("_clean"))
+    listed = clean.select(
+        *keep, lines_of_code(content).alias("loc"), cyclomatic(content, language).alias("cyclomatic"), cognitive(content).alias("cognitive"),
+        operator_counts(F.col("_clean")).alias("_ops"), operands(F.col("_clean"), language).alias("_operands"),
+    )
+    counts = F.struct(F.col("_ops.n1").alias("n1"), F.size(F.array_distinct("_operands")).alias("n2"), F.col("_ops.t1").alias("t1"), F.size("_operands").alias("t2"))
+    basic = listed.select(*keep, "loc", "cyclomatic", "cognitive", counts.alias("counts"))
     return halstead(basic).select(
         *keep,
         *[F.col(f"loc.{c}").alias(f"loc_{c}") for c in ("total", "code", "comments", "blank", "logical")],

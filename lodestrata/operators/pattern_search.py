@@ -56,9 +56,10 @@ def search(files: DataFrame, query: str, key: str = "path", limit: int = 50) ->
     """
     content, language = F.col("content"), F.col("language")
     counts = [F.when(F.lit(True) if lang is None else language == lang, _count(content, p)).otherwise(0) for _, lang, p, _ in matching_rules(query)]
-    total = sum(counts, F.lit(0))
-    distinct = sum((F.when(c > 0, 1).otherwise(0) for c in counts), F.lit(0))
-    counted = files.select(key, "content", total.alias("ruled"), distinct.alias("hit_rules"))
+    # The counts are a column of their own, so that each rule runs once though two sums use it.
+    ruled = files.select(key, "content", F.array(*counts, F.lit(0)).alias("hits"))
+    add = lambda values: F.aggregate(values, F.lit(0), lambda a, v: a + v)
+    counted = ruled.select(key, "content", add(F.col("hits")).alias("ruled"), F.size(F.filter("hits", lambda v: v > 0)).alias("hit_rules"))
     custom = _count(F.substring("content", 1, MAX_TEXT), "(?im)" + query) if is_allowed(query) else F.lit(0)
     return (
         counted.select(key, "ruled", "hit_rules", F.when((F.coalesce("ruled", F.lit(0)) == 0) & F.col("content").isNotNull(), F.least(custom, F.lit(MAX_MATCHES))).otherwise(0).alias("own"))
