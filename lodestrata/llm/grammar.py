@@ -11,12 +11,14 @@ from __future__ import annotations
 import re
 import sys
 
-from lodestrata.llm.lexing import tokenize
 
 NUMBER, STRING, TEMPLATE, REGEX, PRIVATE, WORD, BAD, NL = "n", "s", "t", "r", "#", "i", "\x00", "\n"
 _GROUP = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
 _FIRST_GROUP = 0x20000
 _LAST_GROUP = 0x10FFFF
+#: Shapes that a worker remembers before its tables start anew.
+_MOST_GROUPS = 250_000
+_MOST_LINES = 500_000
 
 
 #: Passes over a text that each replace its innermost groups; deeper texts are reduced with a stack.
@@ -98,16 +100,20 @@ class Language:
     def _symbol(self, text: str) -> str:
         symbol = self.groups.get(text)
         if symbol is None:
+            if len(self.bodies) > _LAST_GROUP - _FIRST_GROUP:
+                return BAD
             symbol = self.groups[text] = chr(_FIRST_GROUP + len(self.bodies))
             self.bodies.append(text)
         return symbol
 
-    def valid(self, text: str) -> bool:
-        if len(self.bodies) > _LAST_GROUP - _FIRST_GROUP - 200_000 or len(self.lines) > 1_000_000:
-            self.reset()
-        return self.valid_tokens(tokenize(text[1:] if text.startswith("﻿") else text, self.lexer))
-
     def valid_tokens(self, tokens: list[str]) -> bool:
+        """Whether the tokens of a balanced text form a unit of the language.
+
+        What a worker remembers is bounded: between texts the tables start anew when they have grown large. A text
+        with more different group shapes than there are symbols (over 900,000) cannot be read and counts as invalid.
+        """
+        if len(self.bodies) > _MOST_GROUPS or len(self.lines) > _MOST_LINES or len(self.roles) > _MOST_LINES:
+            self.reset()
         flat = self.classes(tokens)
         if BAD in flat:
             return False
@@ -119,7 +125,7 @@ class Language:
             flat = smaller
         else:
             flat = reduce_nested(flat, self._deep_symbol)
-        if any(c in flat for c in "()[]{}"):
+        if BAD in flat or any(c in flat for c in "()[]{}"):
             return False
         try:
             return self.unit(flat)

@@ -37,7 +37,7 @@ def parses(source: str) -> bool:
 def _shape_is_valid(shape: str, first: str) -> bool:
     verdict = _shapes.get(shape)
     if verdict is None:
-        if len(_shapes) > 500_000:
+        if len(_shapes) > 200_000:
             _shapes.clear()
         body = shape + " pass" if shape.endswith(" :") else shape
         after = ""

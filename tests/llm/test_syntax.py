@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm import lexing, python_grammar, syntax
+from lodestrata.llm import grammar, lexing, python_grammar, syntax
 
 VALID = {
     "js": [
@@ -98,6 +98,17 @@ def test_deep_and_long_texts():
     assert syntax.is_valid("a;\n" * 200_000, "js") and lexing.file_span("f(\n" * 100_000 + ")\n" * 100_000, "ts").balanced
 
 
+def test_tables_start_anew_between_texts(monkeypatch):
+    monkeypatch.setattr(grammar, "_MOST_GROUPS", 3)
+    js = grammar.JavaScript()
+    for k in range(6):
+        text = "f(" + ", ".join("ab"[:1] * 1 for _ in range(k + 1)) + "); x = {" + ", ".join(f"k{i}: [{i}]" for i in range(k)) + "};"
+        assert js.valid_tokens(lexing.tokenize(text, "js"))
+        assert len(js.bodies) <= 3 + 4
+    monkeypatch.setattr(grammar, "_LAST_GROUP", grammar._FIRST_GROUP + 1)
+    assert not grammar.JavaScript().valid_tokens(lexing.tokenize("f(a); g(b, c); h(d, e, f); i(1);", "js"))
+
+
 def test_frame(spark):
     rows = [("r/a.py", "x = (", 1), ("r/b.py", None, 1), (None, "x", 1), ("r/c.txt", "(", 1), ("r/a.py", "x = (", 1), ("r/D.JSON", "{}", 1), ("q/e.go", "", 1)]
     frame = spark.createDataFrame(rows, "path string, content string, valid int")
