@@ -13,6 +13,12 @@ TABLES = ("semantic_concepts", "developer_patterns", "architectural_decisions",
 CUT = "2025-01-01"
 
 
+def _sessions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The latest version of each session, only with the columns that are asked for."""
+    wanted = list(dict.fromkeys(["id", "updated_at", "ended_at", *columns]))
+    return sessions.current_sessions(table(spark, d, "work_sessions").select(*wanted))
+
+
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The concepts of the file with the least path, by its path."""
     c = distinct(spark, d, "semantic_concepts")
@@ -35,16 +41,16 @@ def like_search_escaped(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_search(spark: SparkSession, d: str) -> DataFrame:
     """Features (directories) whose name or list of files, as text, holds a word."""
-    s = sessions.current_sessions(table(spark, d, "work_sessions"))
+    s = _sessions(spark, d, "feature", "name", "files")
     return store.like_search(s, "rout", ["feature", "name", "files"]).select("id", "feature")
 
 
 def active_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.active(sessions.current_sessions(table(spark, d, "work_sessions"))).select("id", "name", "started_at")
+    return sessions.active(_sessions(spark, d, "name", "started_at")).select("id", "name", "started_at")
 
 
 def latest_active_session(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.active(sessions.current_sessions(table(spark, d, "work_sessions"))).agg(F.max_by("id", F.struct("started_at", "id")).alias("id"))
+    return sessions.active(_sessions(spark, d, "started_at")).agg(F.max_by("id", F.struct("started_at", "id")).alias("id"))
 
 
 def top_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -52,13 +58,13 @@ def top_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_sessions(spark: SparkSession, d: str) -> DataFrame:
-    s = sessions.current_sessions(table(spark, d, "work_sessions"))
+    s = _sessions(spark, d)
     counted = sessions.with_decision_counts(s, table(spark, d, "project_decisions"))
     return counted.select("id", "updated_at", "n_decisions").orderBy(F.col("updated_at").desc(), "id").limit(10)
 
 
 def session_decision_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = sessions.current_sessions(table(spark, d, "work_sessions"))
+    s = _sessions(spark, d)
     return sessions.with_decision_counts(s, table(spark, d, "project_decisions")).select("id", "n_decisions")
 
 
@@ -95,7 +101,7 @@ def update_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def end_session(spark: SparkSession, d: str) -> DataFrame:
-    s = sessions.current_sessions(table(spark, d, "work_sessions"))
+    s = _sessions(spark, d)
     least = s.where("ended_at IS NULL").agg(F.min("id").alias("target"))
     joined = s.crossJoin(least)
     return joined.select("id", F.when(F.col("id") == F.col("target"), F.lit(CUT).cast("timestamp_ntz")).otherwise(F.col("ended_at")).alias("ended_at"))
@@ -120,13 +126,13 @@ def json_defaults(spark: SparkSession, d: str) -> DataFrame:
 
 def session_patch(spark: SparkSession, d: str) -> DataFrame:
     """Notes are set where the change has some, the name stays."""
-    s = sessions.current_sessions(table(spark, d, "work_sessions")).select("id", "name", "notes")
+    s = _sessions(spark, d, "name", "notes").select("id", "name", "notes")
     change = s.where("notes IS NULL").select("id", F.concat(F.lit("notes of "), "id").alias("notes"))
     return sessions.patch(s, change)
 
 
 def session_add_file(spark: SparkSession, d: str) -> DataFrame:
-    s = sessions.current_sessions(table(spark, d, "work_sessions"))
+    s = _sessions(spark, d, "files", "feature")
     added = sessions.append_if_absent(store.json_strings("files"), F.concat("feature", F.lit("/new.py")))
     return s.select("id", F.size(added).alias("n_files"), F.array_join(added, "|").alias("files"))
 
