@@ -8,6 +8,9 @@ compared exactly.
 The centroids are fitted on at most ``SAMPLE`` vectors. Every vector is indexed and every vector is a query. Lists
 of more than ``MEMBERS`` vectors are searched in parts, and the queries of a part in blocks, so a task's share has
 a fixed bound, however many vectors lie together.
+
+Within kinds, each kind has lists of its own: a kind of at most ``EXACT`` vectors is one list that is compared exactly;
+of a larger one, a query visits a fixed share of the lists, and as many more as hold k others.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ from lodestrata.session import durable
 SAMPLE = 20_000
 MEMBERS = 4_096
 QUERIES = 4_096
+#: Within kinds, a kind of no more vectors is searched exactly, and of a larger one this share of the lists at least.
+EXACT = 4_096
+VISITED = 1 / 8
 #: Half-width of the error interval in standard deviations.
 EPSILON = 2.5
 #: Bits of a quantised query component.
@@ -123,25 +129,121 @@ def pack_bits(flags: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, pad)))).view(np.uint64)
 
 
+def survivors(queries: np.ndarray, codes: Codes, centre: np.ndarray, turn: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Mask (queries x members) of the candidates that the bounds leave."""
+    estimate, half = codes.estimate(queries, centre, turn)
+    # One more than k, since the query itself may be among the members.
+    if estimate.shape[1] > k + 1:
+        floor = np.partition(estimate - half, -(k + 1), axis=1)[:, -(k + 1)][:, None]
+    else:
+        floor = np.full((len(queries), 1), -np.inf, np.float32)
+    return estimate + half >= np.maximum(floor, least)
+
+
 def search_block(queries: np.ndarray, members: np.ndarray, codes: Codes, centre: np.ndarray, turn: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, similarity) of the candidates that survive the bounds, compared exactly.
 
     For each query at least its best k members by exact similarity, up to the bound's probability.
     """
-    estimate, half = codes.estimate(queries, centre, turn)
-    upper = estimate + half
-    # One more than k, since the query itself may be among the members.
-    if estimate.shape[1] > k + 1:
-        floor = np.partition(estimate - half, -(k + 1), axis=1)[:, -(k + 1)][:, None]
+    q, m = np.nonzero(survivors(queries, codes, centre, turn, k, least))
+    exact = np.einsum("ij,ij->i", queries[q].astype(np.float64), members[m].astype(np.float64))
+    return q, m, exact
+
+
+def compare_block(queries: np.ndarray, members: np.ndarray, k: int, least: float, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As search_block, of the pairs in the mask ``kept``, by one product of the blocks; without a mask the best k are certain.
+
+    Most members of a short list survive the bounds, and one product is cheaper than so many pairs one by one.
+    """
+    sims = queries @ members.T
+    if kept is not None:
+        sims[~kept] = -np.inf
+    if sims.shape[1] > k + 1:
+        # The rounding of single precision is far below 1e-5.
+        floor = np.partition(sims, -(k + 1), axis=1)[:, -(k + 1)][:, None] - 1e-5
     else:
         floor = np.full((len(queries), 1), -np.inf, np.float32)
-    q, m = np.nonzero(upper >= np.maximum(floor, least))
+    q, m = np.nonzero((sims >= np.maximum(floor, least - 1e-5)) & np.isfinite(sims))
     exact = np.einsum("ij,ij->i", queries[q].astype(np.float64), members[m].astype(np.float64))
     return q, m, exact
 
 
+_PLACED = "id string, own_kind string, unit binary, list int, visits array<int>"
+#: List of the kinds that are compared exactly.
+_WHOLE = -1
+
+
+def kind_lists(units: DataFrame, probes: int, exact: int) -> tuple[np.ndarray, dict[str, tuple[int, int, int]]]:
+    """Centroids of the kinds of more than ``exact`` vectors, and of each kind its first list, last list + 1 and probes.
+
+    All lists together are at most a quarter of the bounded sample; each kind's part of both follows the root of its size.
+    """
+    large = units.groupBy("own_kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > exact).orderBy("own_kind").collect()
+    wanted = {r.own_kind: int(2 * math.sqrt(r.n)) for r in large}
+    total = sum(wanted.values())
+    if not total:
+        return np.zeros((0, 1), np.float32), {}
+    counts = {kind: max(1, int(w * min(1.0, SAMPLE / 4 / total))) for kind, w in wanted.items()}
+    quota = {r.own_kind: max(4, SAMPLE * wanted[r.own_kind] // total) for r in large}
+    chances = units.sparkSession.createDataFrame([(r.own_kind, min(1.0, 1.2 * quota[r.own_kind] / r.n)) for r in large], "own_kind string, chance double")
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("chance") * 1_000_000
+    sample = units.join(F.broadcast(chances), "own_kind").where(drawn).select("own_kind", "unit").limit(2 * SAMPLE).toPandas()
+    centres, spans, at = [], {}, 0
+    for kind, some in sample.groupby("own_kind"):
+        fitted = fit_centroids(_matrix(some["unit"].iloc[: quota[kind]]), counts[kind])
+        spans[kind] = (at, at + len(fitted), min(len(fitted), max(probes, math.ceil(VISITED * len(fitted)))))
+        centres.append(fitted)
+        at += len(fitted)
+    return np.concatenate(centres) if centres else np.zeros((0, 1), np.float32), spans
+
+
+def visited_lists(sims: np.ndarray, sizes: np.ndarray, probes: int, enough: int) -> list[np.ndarray]:
+    """Per row of similarities to the lists, the nearest ``probes`` lists, and more until they hold ``enough`` vectors."""
+    top = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
+    out = list(top)
+    for row in np.flatnonzero(sizes[top].sum(axis=1) < enough):
+        order = np.argsort(-sims[row], kind="stable")
+        held = int(np.searchsorted(np.cumsum(sizes[order]), enough)) + 1
+        out[row] = order[: max(probes, held)]
+    return out
+
+
+def _placed_by_kind(kinds: DataFrame, shared, spans: dict[str, tuple[int, int, int]], k: int) -> DataFrame:  # noqa: ANN001
+    """The list of every vector among those of its kind, and the lists that it visits as a query."""
+
+    def parts(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, tuple[int, int, int] | None, np.ndarray | None]]:
+        for kind, rows in batch.groupby("own_kind"):
+            span = spans.get(kind)
+            yield rows, span, None if span is None else _matrix(rows["unit"]) @ shared.value[0][span[0] : span[1]].T
+
+    def own_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, span, sims in parts(b):
+                if span is not None:
+                    yield pd.DataFrame({"list": (span[0] + np.argmax(sims, axis=1)).astype(np.int32)})
+
+    sizes = np.zeros(max((stop for _, stop, _ in spans.values()), default=0), np.int64)
+    if spans:
+        for r in kinds.select("own_kind", "unit").mapInPandas(own_lists, "list int").groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
+            sizes[r.list] = r.n
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for rows, span, sims in parts(b):
+                if span is None:
+                    own, visits = np.full(len(rows), _WHOLE), [np.array([_WHOLE], np.int32)] * len(rows)
+                else:
+                    start, stop, probes = span
+                    own = start + np.argmax(sims, axis=1)
+                    # One more than k, since the query itself is among the members.
+                    visits = [(start + v).astype(np.int32) for v in visited_lists(sims, sizes[start:stop], probes, k + 1)]
+                yield pd.DataFrame({"id": rows["id"].to_numpy(), "own_kind": rows["own_kind"].to_numpy(), "unit": rows["unit"].to_numpy(), "list": own.astype(np.int32), "visits": visits})
+
+    return durable(kinds.select("id", "own_kind", "unit").mapInPandas(place, _PLACED))
+
+
 def nearest(
-    vectors: DataFrame, k: int = 10, dim: int = 64, least: float = -2.0, probes: int = 24, within_kind: bool = False, members: int = MEMBERS, block: int = QUERIES
+    vectors: DataFrame, k: int = 10, dim: int = 64, least: float = -2.0, probes: int = 24, within_kind: bool = False, members: int = MEMBERS, block: int = QUERIES, exact: int = EXACT
 ) -> DataFrame:
     """The k most similar other vectors of every usable vector: (id, neighbour, similarity, rank).
 
@@ -149,36 +251,42 @@ def nearest(
     Pairs below ``least`` are left out. within_kind: only neighbours of the same kind (null equals null). Vectors
     that are not usable are neither queries nor neighbours; repeated ids count once. Fewer than k others give
     fewer rows; no usable vectors give an empty result. Approximate: a query visits the ``probes`` lists
-    with the nearest centroids; where the lists are no more than that, it sees all vectors.
+    with the nearest centroids; where the lists are no more than that, it sees all vectors. within_kind: kinds of at
+    most ``exact`` vectors are searched exactly; of the lists of a larger kind a query visits ``probes``, or VISITED of
+    them if that is more, and further ones until they hold k others, so every query with k others gets k rows.
     """
     spark = vectors.sparkSession
     units = durable(usable(vectors.select("id", "kind", "embedding"), dim))
     total = units.count()
     if not total:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
-    chance = min(1.0, 1.2 * SAMPLE / total)
-    sample = units.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(chance * 1_000_000)).select("unit").limit(SAMPLE).toPandas()
-    # The lists are few, at most a quarter of the bounded sample, so are the centroids that each task gets.
-    lists = max(1, min(SAMPLE // 4, int(2 * math.sqrt(total))))
-    centres = fit_centroids(_matrix(sample["unit"]), lists) if len(sample) else np.eye(1, dim, dtype=np.float32)
     turn = rotation(dim)
-    shared = spark.sparkContext.broadcast((centres, turn))
-    n_probes = min(probes, len(centres))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value[0]
-        for b in batches:
-            if not len(b):
-                continue
-            sims = _matrix(b["unit"]) @ c.T
-            own = np.argmax(sims, axis=1)
-            top = np.argpartition(-sims, n_probes - 1, axis=1)[:, :n_probes]
-            yield pd.DataFrame({"id": b["id"], "kind": b["kind"], "unit": b["unit"], "list": own.astype(np.int32), "visits": list(top.astype(np.int32))})
-
-    placed = durable(units.mapInPandas(place, "id string, kind string, unit binary, list int, visits array<int>"))
-    group = [F.col("list"), F.coalesce("kind", F.lit(""))] if within_kind else [F.col("list"), F.lit("")]
-    # With kinds apart, the lists are subdivided by kind.
-    keyed = placed.withColumns({"own_kind": group[1]})
+    if within_kind:
+        # Null is a kind of its own, apart from the empty name.
+        kinds = units.withColumn("own_kind", F.coalesce(F.concat(F.lit("="), "kind"), F.lit("")))
+        centres, spans = kind_lists(kinds, probes, exact)
+        shared = spark.sparkContext.broadcast((centres, turn))
+        keyed = _placed_by_kind(kinds, shared, spans, k)
+    else:
+        chance = min(1.0, 1.2 * SAMPLE / total)
+        sample = units.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(chance * 1_000_000)).select("unit").limit(SAMPLE).toPandas()
+        # The lists are few, at most a quarter of the bounded sample, so are the centroids that each task gets.
+        lists = max(1, min(SAMPLE // 4, int(2 * math.sqrt(total))))
+        centres = fit_centroids(_matrix(sample["unit"]), lists) if len(sample) else np.eye(1, dim, dtype=np.float32)
+        shared = spark.sparkContext.broadcast((centres, turn))
+        n_probes = min(probes, len(centres))
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            c = shared.value[0]
+            for b in batches:
+                if not len(b):
+                    continue
+                sims = _matrix(b["unit"]) @ c.T
+                own = np.argmax(sims, axis=1)
+                top = np.argpartition(-sims, n_probes - 1, axis=1)[:, :n_probes]
+                yield pd.DataFrame({"id": b["id"], "own_kind": "", "unit": b["unit"], "list": own.astype(np.int32), "visits": list(top.astype(np.int32))})
+
+        keyed = durable(units.mapInPandas(place, _PLACED))
     sizes = keyed.groupBy("list", "own_kind").agg(F.count(F.lit(1)).alias("n"))
     visits = keyed.select("id", "unit", "own_kind", F.explode("visits").alias("list"))
     visited = visits.groupBy("list", "own_kind").agg(F.count(F.lit(1)).alias("v"))
@@ -200,15 +308,23 @@ def nearest(
         mem, qry = frame[is_member], frame[~is_member]
         out: dict[str, list] = {"id": [], "neighbour": [], "similarity": []}
         if len(mem) and len(qry):
-            centre = c[int(key[0])]
+            at_list = int(key[0])
             m_units, m_ids = _matrix(mem["unit"]), mem["id"].to_numpy(object)
-            codes = Codes(m_units, centre, t)
+            if within_kind:
+                # Ranks of the ids sort faster than the ids.
+                m_rank = np.argsort(np.argsort(m_ids.astype(str), kind="stable"))
+            codes = None if at_list == _WHOLE else Codes(m_units, c[at_list], t)
             q_units, q_ids = _matrix(qry["unit"]), qry["id"].to_numpy(object)
             for at in range(0, len(q_ids), _BLOCK):
-                q, m, sim = search_block(q_units[at : at + _BLOCK], m_units, codes, centre, t, k, least - 1e-6)
+                some = q_units[at : at + _BLOCK]
+                if within_kind:
+                    kept = None if codes is None else survivors(some, codes, c[at_list], t, k, least - 1e-6)
+                    q, m, sim = compare_block(some, m_units, k, least, kept)
+                else:
+                    q, m, sim = search_block(some, m_units, codes, c[at_list], t, k, least - 1e-6)
                 keep = (q_ids[at + q] != m_ids[m]) & (sim >= least)
                 q, m, sim = q[keep], m[keep], sim[keep]
-                order = np.lexsort((m_ids[m].astype(str), -sim, q))
+                order = np.lexsort((m_rank[m] if within_kind else m_ids[m].astype(str), -sim, q))
                 q, m, sim = q[order], m[order], sim[order]
                 first = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.zeros(0, int)
                 place_in = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) if len(q) else np.zeros(0, int)

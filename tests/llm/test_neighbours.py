@@ -58,6 +58,20 @@ def test_within_kind(spark):
     assert len(got & truth) >= 0.98 * len(truth) and all(kinds[a] == kinds[b] for a, b in got)
 
 
+def test_rare_kinds_within_kind_are_exact(spark):
+    points, kinds = cloud(600, 6), ["rare" if i % 50 == 0 else "" if i % 25 == 1 else None if i % 25 == 2 else "common" for i in range(600)]
+    truth, _ = brute(points, 5, kinds)
+    got = {(int(r.id[1:]), int(r.neighbour[1:])) for r in nearest(frame(spark, points, kinds), 5, 16, within_kind=True, probes=2).collect()}
+    small = lambda pairs: {p for p in pairs if kinds[p[0]] != "common"}
+    assert small(got) == small(truth) and all(kinds[a] == kinds[b] for a, b in got)
+
+
+def test_every_query_within_a_large_kind_gets_k(spark):
+    points = cloud(300, 7)
+    out = nearest(frame(spark, points, ["a"] * 300), 25, 16, within_kind=True, probes=1, exact=10).collect()
+    assert len(out) == 300 * 25
+
+
 def test_unusable_vectors_and_repeats(spark):
     good = [1.0] * 4
     rows = [("a", "k", good, 1), ("a", "k", good, 1), ("b", None, [2.0] * 4, 1), ("c", "k", None, 1), ("d", "k", [], 1), ("e", "k", [1.0], 1), ("f", "k", [0.0] * 4, 1), ("g", "k", [1.0, None, 1.0, 1.0], 1),
