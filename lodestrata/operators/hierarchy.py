@@ -1,11 +1,12 @@
 """Parent-child links to full hierarchies.
 
-Method: a weighted disjoint-set forest. Each task links the nodes it holds and compresses every node to the
-top of its local tree, the offset being the number of links to it (``_local_forest``). Tops whose own parent
-lies in another task are joined hierarchically: the boundary links, one per top, are doubled until each knows
-its root (``_join_boundaries``), so the number of rounds is the logarithm of the number of task crossings on
-the longest path. A top that is still not at a root then lies on a cycle or leads into one. Paths and
-ancestors are materialised by following the parent index.
+Method: local trees and joined boundaries. Each task walks the parents of every node it holds to the top of its
+local tree, the offset being the number of links to it (``_local_forest``); there is no union by weight. Roots and
+depths (``hierarchies``): tops whose own parent lies in another task are joined by doubling the boundary links, one
+per top, until each knows its root (``_join_boundaries``), so the number of rounds is the logarithm of the number of
+task crossings on the longest path. A top that is still not at a root then lies on a cycle or leads into one. Pairs
+(``ancestor_pairs``) have a row per ancestor, so their chains are extended task by task instead (``_expand``), in as
+many rounds as the longest path has crossings.
 """
 
 from __future__ import annotations
@@ -232,6 +233,19 @@ def hierarchies(links: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
     )
 
 
+def circles(links: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """(group, id, parent_id, circle, length) of every link that is part of a circle; circle is its least id.
+
+    Nodes that only lead into a circle are left out.
+    """
+    links = durable(links.select("group", "id", "name", "parent_id"))
+    pairs = durable(ancestor_pairs(links, split_above))
+    # A node on a circle has exactly the circle's nodes as its ancestors, and is its own after one turn.
+    turn = F.max(F.when(F.col("id") == F.col("ancestor"), F.col("distance")))
+    around = pairs.groupBy("id").agg(F.min("ancestor").alias("circle"), turn.alias("length"))
+    return links.join(cycles(links, pairs), ["group", "id"], "left_semi").join(around, "id").select("group", "id", "parent_id", "circle", "length")
+
+
 def cycles(hierarchy: DataFrame, pairs: DataFrame) -> DataFrame:
     """(group, id) of the nodes that lie on a cycle themselves."""
     own = pairs.where("id = ancestor").select("id").distinct()

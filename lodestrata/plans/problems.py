@@ -73,8 +73,21 @@ def p3_hierarchy(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def p3_descendants(spark: SparkSession, directory: str) -> DataFrame:
+    """Every symbol with each of its descendants; on a circle a symbol is its own."""
+    pairs = hierarchy.ancestor_pairs(symbol_links(spark, directory))
+    return pairs.select(F.col("ancestor").alias("symbol_id"), F.col("id").alias("descendant_id"), "distance")
+
+
+def p3_cycles(spark: SparkSession, directory: str) -> DataFrame:
+    """The links that run in a circle."""
+    return hierarchy.circles(symbol_links(spark, directory)).select(
+        F.col("group").alias("file_path"), F.col("id").alias("symbol_id"), "parent_id", F.col("circle").alias("cycle_id"), "length"
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy}
+    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p3_cycles": p3_cycles}
 
 
 _REFERENCES = r"""
@@ -125,6 +138,15 @@ pairs AS (
 )
 """
 
+_CHAINS = f"""{_LINKS},
+chains AS (
+  SELECT id, parent_id AS ancestor, [parent_id] AS up FROM links WHERE parent_id IS NOT NULL
+  UNION ALL
+  SELECT c.id, l.parent_id, list_append(c.up, l.parent_id) FROM chains c JOIN links l ON l.id = c.ancestor
+  WHERE l.parent_id IS NOT NULL AND NOT list_contains(c.up, l.parent_id)
+)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -134,4 +156,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT table_name, strftime(t, '%Y-%m') AS month, reason, count(*) AS n_references, count(DISTINCT record_id) AS n_records
             FROM dead GROUP BY ALL""",
         "p3_found": f"WITH RECURSIVE {_LINKS} SELECT DISTINCT least(id, ancestor) AS symbol_a, greatest(id, ancestor) AS symbol_b FROM pairs",
+        "p3_descendants": f"WITH RECURSIVE {_CHAINS} SELECT ancestor AS symbol_id, id AS descendant_id, len(up) AS distance FROM chains",
+        "p3_cycles": f"""WITH RECURSIVE {_CHAINS} SELECT n.file_path, c.id AS symbol_id, l.parent_id, list_min(c.up) AS cycle_id, len(c.up) AS length
+            FROM chains c JOIN links l ON l.id = c.id JOIN named n ON n.symbol_id = c.id WHERE c.id = c.ancestor""",
     }

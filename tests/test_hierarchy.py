@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from lodestrata.operators.hierarchy import ancestor_pairs, cycles, hierarchies, name_links
+from lodestrata.operators.hierarchy import ancestor_pairs, circles, cycles, hierarchies, name_links
+from lodestrata.plans import problems
 
 LINKS = "group string, id long, name string, parent_id long, depth int"
 
@@ -67,6 +68,21 @@ def test_cycles_are_reported(spark):
     assert {r.id for r in cycles(hierarchies(f), ancestor_pairs(f)).collect()} == {1, 2, 5}
 
 
+@pytest.mark.parametrize("split", [1000, 3])
+def test_circles_are_told_from_what_hangs_on_them(spark, split):
+    links = {1: 2, 2: 1, 3: 1, 4: None, 5: 5, 6: 3, 7: 8, 8: 9, 9: 7, 10: 4}
+    got = {(r.id, r.parent_id, r.circle, r.length) for r in circles(frame(spark, links), split).collect()}
+    assert got == {(1, 2, 1, 2), (2, 1, 1, 2), (5, 5, 5, 1), (7, 8, 7, 3), (8, 9, 7, 3), (9, 7, 7, 3)}
+
+
+def test_descendants_and_circles_are_queries(spark, monkeypatch):
+    monkeypatch.setattr(problems, "symbol_links", lambda *_: frame(spark, {1: None, 2: 1, 3: 2, 4: 5, 5: 4, 6: 4}))
+    below = {(r.symbol_id, r.descendant_id, r.distance) for r in problems.queries()["p3_descendants"](spark, "").collect()}
+    assert below == {(1, 2, 1), (1, 3, 2), (2, 3, 1), (4, 5, 1), (4, 4, 2), (5, 4, 1), (5, 5, 2), (4, 6, 1), (5, 6, 2)}
+    around = {(r.symbol_id, r.parent_id, r.cycle_id) for r in problems.queries()["p3_cycles"](spark, "").collect()}
+    assert around == {(4, 5, 4), (5, 4, 4)}
+
+
 NODES = "group string, id long, name string, parent string, children array<string>, parent_id string"
 
 
