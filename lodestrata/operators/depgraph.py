@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +54,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.sum("e.out").alias("n_imports"), F.sum("e.into").alias("n_imported_by")).withColumn("coupling", F.col("n_imports") + F.col("n_imported_by"))
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(source, target, distance) of all pairs that a path joins; a node on a cycle reaches itself.
 
-    Semi-naive: each round extends only the pairs that the last one found. Results are written between rounds.
+    Semi-naive: each round extends only the pairs that the last one found, until none is new or, if given, ``max_rounds``
+    is reached. Results are written between rounds.
     """
     step = durable(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
     reached = step.withColumn("distance", F.lit(1))
     frontier = reached
-    for distance in range(2, max_rounds + 1):
+    for distance in count(2) if max_rounds is None else range(2, max_rounds + 1):
         grown = frontier.select("source", F.col("target").alias("mid")).join(step.select(F.col("source").alias("mid"), "target"), "mid").select("source", "target").distinct()
         frontier = durable(grown.join(reached, ["source", "target"], "left_anti").withColumn("distance", F.lit(distance)))
         if not frontier.limit(1).count():
@@ -94,6 +97,37 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     )
 
 
+def inner_edges(edges: DataFrame) -> DataFrame:
+    """(source, target), distinct: edges on a cycle or on a path between cycles.
+
+    Edges from nodes that nothing reaches, and to nodes that reach nothing, are dropped until none is left.
+    """
+    kept = durable(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
+    size = kept.count()
+    while size:
+        entered, left = kept.select(F.col("target").alias("source")).distinct(), kept.select(F.col("source").alias("target")).distinct()
+        kept = durable(kept.join(entered, "source", "left_semi").join(left, "target", "left_semi").select("source", "target"))
+        if (now := kept.count()) == size:
+            break
+        size = now
+    return kept
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(component, node, n_nodes, shortest, severity) of every node on a cycle of any length.
+
+    component: the least node of the strongly connected component. shortest: nodes of the shortest cycle through the node;
+    severity by it, as in ``cycles``.
+    """
+    reached = durable(closure(inner_edges(edges)))
+    back = reached.select(F.col("source").alias("target"), F.col("target").alias("source"))
+    mutual = reached.join(back, ["source", "target"])
+    shortest = F.min(F.when(F.col("source") == F.col("target"), F.col("distance")))
+    return mutual.groupBy(F.col("source").alias("node")).agg(F.min("target").alias("component"), F.count(F.lit(1)).alias("n_nodes"), shortest.alias("shortest")).select(
+        "component", "node", "n_nodes", "shortest", F.when(F.col("shortest") <= 2, "error").otherwise("warning").alias("severity")
+    )
+
+
 def metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row of figures over edges and nodes (node, is_external, is_stdlib); averages over nodes that are not external."""
     deg = degrees(edges)

@@ -138,6 +138,19 @@ def graph_cycles(spark: SparkSession, d: str) -> DataFrame:
     return depgraph.cycles(_nation_graph(spark, d))
 
 
+def import_closure(spark: SparkSession, d: str) -> DataFrame:
+    return depgraph.closure(_edges(spark, d))
+
+
+def import_depths(spark: SparkSession, d: str) -> DataFrame:
+    return depgraph.depths(depgraph.closure(_edges(spark, d)))
+
+
+def import_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """The modules on import cycles of any length, by strongly connected component."""
+    return depgraph.components(_edges(spark, d))
+
+
 # extraction
 def concept_extraction(spark: SparkSession, d: str) -> DataFrame:
     return extraction.concepts(source(spark, d))
@@ -327,7 +340,7 @@ def insights_page(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     mine = (
         loc_metrics, cyclomatic, cognitive, halstead, maintainability, file_complexity, complexity_hotspots, refactorings, import_lines, import_edges, degree_coupling, graph_metrics,
-        most_coupled, graph_closure, graph_depths, graph_cycles, concept_extraction, pattern_detection, naming_patterns, class_patterns, function_patterns, python_symbols, python_imports, merge_symbols,
+        most_coupled, graph_closure, graph_depths, graph_cycles, import_closure, import_depths, import_cycles, concept_extraction, pattern_detection, naming_patterns, class_patterns, function_patterns, python_symbols, python_imports, merge_symbols,
         merge_patterns, best_imports, merge_frameworks, find_symbol, find_symbol_path, symbols_overview, enclosing_symbols, symbol_references, symbol_bodies, sibling_style, sibling_prefixes,
         sibling_return_types, symbol_edits, symbol_visibility, recommendations, predicted_files, suggested_patterns, routed_problems, routed_files, developer_profile, recent_focus, feature_map,
         concept_pairs, pattern_prefixes, concept_types, concept_density, insights_page,

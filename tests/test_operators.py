@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import languages, naming, security
 from lodestrata.operators import depgraph, extraction, files, pattern_search, sessions, store, symbols, text_search, vector_search
+from lodestrata.plans import analysis
 
 
 def values(spark, items, column):
@@ -95,6 +96,28 @@ def test_graph_closure_depth_and_cycles(spark):
     assert depgraph.closure(e.limit(0)).count() == 0 and depgraph.cycles(e.limit(0)).count() == 0
 
 
+def test_closure_has_no_last_distance(spark):
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(70)], "source string, target string").coalesce(1)
+    assert depgraph.closure(e).agg(F.max("distance")).first()[0] == 70
+
+
+def test_components_of_cycles_of_any_length(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 8}") for i in range(8)]
+    e = spark.createDataFrame([*ring, ("r3", "r2"), ("r5", "s"), ("s", "t"), ("t", "u"), ("u", "t"), ("u", "v"), ("q", "r0"), ("x", "x"), ("x", None)], "source string, target string")
+    got = {(r.component, r.node, r.n_nodes, r.shortest, r.severity) for r in depgraph.components(e).collect()}
+    near = {2, 3}
+    assert got == {("r0", f"r{i}", 8, 2 if i in near else 8, "error" if i in near else "warning") for i in range(8)} | {("t", "t", 2, 2, "error"), ("t", "u", 2, 2, "error"), ("x", "x", 1, 1, "error")}
+    assert depgraph.components(e.limit(0)).count() == 0
+
+
+def test_import_graph_queries_read_the_imports(spark, monkeypatch):
+    edges = [(f"m{i}", f"m{(i + 1) % 7}") for i in range(7)]
+    monkeypatch.setattr(analysis, "_edges", lambda *_: spark.createDataFrame(edges, "source string, target string"))
+    run = lambda name: analysis.queries()[name](spark, "").collect()
+    assert len(run("import_closure")) == 49 and {(r.node, r.depth) for r in run("import_depths")} == {(f"m{i}", 7) for i in range(7)}
+    assert {(r.component, r.node, r.n_nodes) for r in run("import_cycles")} == {("m0", f"m{i}", 7) for i in range(7)}
+
+
 def test_modules_and_relative_imports(spark):
     assert values(spark, ["a/b.py", "a/__init__.py", "a/b.test.ts"], depgraph.module_of) == ["a.b", "a", "a.b.test"]
     f = spark.createDataFrame([("r/a/b.py", "python", "import os\nfrom ..c import d\nfrom . import e\n"), ("r/a/x.ts", "typescript", 'import { y } from "../z/w";\nimport q from "q";\n')], "path string, language string, content string")
