@@ -3,8 +3,9 @@
 Method: for every source, the texts' lengths (in characters and in bytes, with and without what was appended after a cut)
 give a discrete hazard: of the texts that reach a length, the share that ends there. Window functions compare each
 length's count with what its neighbours' hazards let expect; the tests of a source are judged together with control
-of the false-discovery rate. At significant lengths, texts with an ending that is not provably complete are flagged;
-elsewhere only those whose end is provably inside a word, sentence or code block.
+of the false-discovery rate. Of the endings that the corpus decides, the significant lengths decide only those in a
+colon, a semicolon or a bare path (``pause``); closing lines and list items go by their words at any length, signatures
+are never flagged, and an end inside a word, sentence or code block always is.
 
 What a complete ending looks like is learnt from the lines inside texts, which are whole: whether lines that begin with
 a word close with a full stop, and with which words lines without one (titles, list items) end.
