@@ -13,8 +13,6 @@ from lodestrata.operators import rules
 
 #: Guards of custom expressions.
 MAX_PATTERN = 1000
-MAX_TEXT = 1 << 20
-MAX_MATCHES = 10_000
 _NESTED = re.compile(r"[+*]\)?[+*{]")
 
 
@@ -60,9 +58,9 @@ def search(files: DataFrame, query: str, key: str = "path", limit: int = 50) ->
     ruled = files.select(key, "content", F.array(*counts, F.lit(0)).alias("hits"))
     add = lambda values: F.aggregate(values, F.lit(0), lambda a, v: a + v)
     counted = ruled.select(key, "content", add(F.col("hits")).alias("ruled"), F.size(F.filter("hits", lambda v: v > 0)).alias("hit_rules"))
-    custom = _count(F.substring("content", 1, MAX_TEXT), "(?im)" + query) if is_allowed(query) else F.lit(0)
+    custom = _count(content, "(?im)" + query) if is_allowed(query) else F.lit(0)
     return (
-        counted.select(key, "ruled", "hit_rules", F.when((F.coalesce("ruled", F.lit(0)) == 0) & F.col("content").isNotNull(), F.least(custom, F.lit(MAX_MATCHES))).otherwise(0).alias("own"))
+        counted.select(key, "ruled", "hit_rules", F.when((F.coalesce("ruled", F.lit(0)) == 0) & F.col("content").isNotNull(), custom).otherwise(0).alias("own"))
         .select(key, (F.col("ruled") + F.col("own")).cast("long").alias("n_matches"), F.when(F.col("own") > 0, 1).otherwise(F.col("hit_rules")).cast("long").alias("n_rules"))
         .where("n_matches > 0")
         .withColumn("score", F.round(score(F.col("n_matches"), F.col("n_rules")), 6))

@@ -87,6 +87,12 @@ def test_memory_edit_replaces_the_first(spark):
     assert [r[0] for r in f.select(sessions.edit_memory(F.col("c"), "x", "Y")).collect()] == ["a Y b x", None, None]
 
 
+def test_custom_patterns_count_whole_texts(spark):
+    far, many = "y" * (1 << 20) + "\nneedle7", "needle7\n" * 10_001
+    f = spark.createDataFrame([("far", "python", far), ("many", "python", many)], "path string, language string, content string")
+    assert {r.path: r.n_matches for r in pattern_search.search(f, r"needle\d").collect()} == {"far": 1, "many": 10_001}
+
+
 def test_graph_closure_depth_and_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x"), ("a", "b"), ("d", None)], "source string, target string")
     reached = {(r.source, r.target): r.distance for r in depgraph.closure(e).collect()}
