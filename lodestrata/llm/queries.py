@@ -156,7 +156,7 @@ def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p10_limits(spark: SparkSession, directory: str) -> DataFrame:
-    ends = durable(truncation.endings(table(spark, directory, "documents")))
+    ends = durable(truncation.endings(truncation.parse(table(spark, directory, "documents"))))
     return truncation.length_hazards(ends).where("significant").drop("significant")
 
 

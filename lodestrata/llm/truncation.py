@@ -1,14 +1,14 @@
 """Text cut off by field limits (problem 10).
 
-Method: for every source, the texts' lengths (in characters and in bytes, with and without what was appended after a cut)
-give a discrete hazard: of the texts that reach a length, the share that ends there. Window functions compare each
-length's count with what its neighbours' hazards let expect; the tests of a source are judged together with control
-of the false-discovery rate. Of the endings that the corpus decides, the significant lengths decide only those in a
-colon, a semicolon or a bare path (``pause``); closing lines and list items go by their words at any length, signatures
-are never flagged, and an end inside a word, sentence or code block always is.
-
-What a complete ending looks like is learnt from the lines inside texts, which are whole: whether lines that begin with
-a word close with a full stop, and with which words lines without one (titles, list items) end.
+Method: for every source, the texts' lengths (in characters and in bytes) give a discrete hazard: of the texts that reach
+a length, the share that ends there. Window functions compare each length's hazard with the hazard of its neighbouring
+lengths; the tests of a source are judged together with control of the false-discovery rate. A length is a limit if
+its test is significant and its neighbours' hazard explains at most 1 - ``CUT_SHARE`` of the texts that end there, so that
+a text of that length was cut with at least that probability. Every ending that is not provably complete is flagged at a limit.
+
+Texts are also cut in mid-transfer, at no particular length. There, an end inside a word, sentence or code block counts
+if the ending shows it; closing lines and list items are compared with the lines inside texts, which are whole: whether
+lines that begin with a word close with a full stop, and with which words lines without one (titles, list items) end.
 """
 
 from __future__ import annotations
@@ -26,18 +26,23 @@ from lodestrata.session import durable
 #: Lengths on either side that are compared with a length.
 NEIGHBOURS = 40
 FALSE_DISCOVERY_RATE = 0.01
-#: A length is tested if so many texts end there.
+#: A length is tested if so many different texts end there.
 LEAST_COUNT = 3
-
-#: What systems append to a text that they cut, with any white space before it.
-_APPENDED = re.compile(
-    r"\s*(?:\[\s*(?:\.\.\.|…|truncated|cut|cut off|more|snip|snipped|continued|gekürzt|abgeschnitten|tronqué|coupé|truncado|cortado)[^\]\n]{0,40}\]"
-    r"|\(\s*(?:\.\.\.|…|truncated|cut off|cut|more|continued|gekürzt|abgeschnitten|tronqué|coupé|truncado|cortado)[^)\n]{0,40}\)"
-    r"|<\s*(?:truncated|cut|more|snip)[^>\n]{0,40}>"
-    r"|(?:read|show|see|view) more\W{0,3}|\.\.\.|…|�+|»{2}|>{2})\s*$",
+#: Least share of a length's texts that its neighbours' hazard does not explain, for the length to be a limit. Measured on
+#: check_l and sf0.1: 0.96 and more at the lengths of limits, at most 0.92 where titles of one pattern have the same length.
+CUT_SHARE = 0.95
+#: A closing word is known if its rate among the closing words inside texts is at least this share of its rate among the last.
+KNOWN_RATE = 0.002
+
+#: What systems append to a text that they cut.
+_MARK = re.compile(
+    r"\s*(?:\.\.\.|…|truncated|cut off|cut|more|snip|snipped|continued|gekürzt|abgeschnitten|tronqué|coupé|truncado|cortado)[^\n\r]*",
     re.IGNORECASE,
 )
-_APPENDED_MOST = 200
+#: No match is longer than _SIGN_MOST.
+_SIGN = re.compile(r"(?:(?:read|show|see|view) more\W{0,3}|\.\.\.|…|»{2}|>{2})$", re.IGNORECASE)
+_SIGN_MOST = 16
+_OPENING = {"]": "[", ")": "(", ">": "<"}
 #: Closing phrases that end in dots on purpose.
 _TRAILING_OFF = re.compile(
     r"(?:and so on|and so forth|more to come|to be continued|etc|und so weiter|usw|fortsetzung folgt|mehr folgt|et ainsi de suite|à suivre|la question reste ouverte|y así sucesivamente|continuará|la pregunta sigue abierta|die frage bleibt offen|wait for it|hmm+|we will see|let us see)$",
@@ -81,6 +86,18 @@ def _closed(line: str) -> bool:
     return not core or core[-1] in _TERMINAL or not (core[-1].isalnum() or core[-1] in ",:;-/(\\=+<&|_[{'\"@#%$^~*`–—")
 
 
+def appended_at(text: str) -> int:
+    """Where what was appended to a text without closing white space begins; its length if nothing was."""
+    if text.endswith("�"):
+        return len(text.rstrip("�"))
+    sign = _SIGN.search(text, max(0, len(text) - _SIGN_MOST))
+    if sign:
+        return sign.start()
+    opening = _OPENING.get(text[-1:])
+    at = text.rfind(opening) if opening else -1
+    return at if at >= 0 and _MARK.fullmatch(text, at + 1, len(text) - 1) else len(text)
+
+
 def analyse(text: str | None) -> tuple[str, str, str, int, int]:
     """(form, first word, last word, characters and bytes without what was appended).
 
@@ -89,10 +106,8 @@ def analyse(text: str | None) -> tuple[str, str, str, int, int]:
     if not text or not text.strip():
         return "whole", "", "", 0, 0
     stripped = text.rstrip()
-    # What is appended is short, so it is looked for in the last characters only.
-    tail = max(0, len(stripped) - _APPENDED_MOST)
-    appended = _APPENDED.search(stripped, tail)
-    base = stripped[: appended.start()].rstrip() if appended else stripped
+    appended = stripped[appended_at(stripped) :]
+    base = stripped[: len(stripped) - len(appended)].rstrip()
     n_chars, n_bytes = len(base), len(base.encode())
     if not appended:
         n_chars, n_bytes = len(text), len(text.encode())
@@ -106,8 +121,7 @@ def analyse(text: str | None) -> tuple[str, str, str, int, int]:
     line = last_line(base)
     piece = _SENTENCE.split(line)[-1].strip()
     if appended:
-        mark = appended.group().strip()
-        if mark in ("...", "…") and (_TRAILING_OFF.search(piece) or _closed(base)):
+        if appended in ("...", "…") and (_TRAILING_OFF.search(piece) or _closed(base)):
             return ("whole", "", "", *size)
         return ("whole" if _closed(base) and not base.endswith("`") else "cut", "", "", *size)
     if re.match(r"^\s*(```|~~~)\s*$", line):
@@ -161,68 +175,96 @@ def inner_lines(text: str) -> Iterator[tuple[str, str, str]]:
                 yield "ends_open", word, ""
 
 
-_ENDING = "doc_id long, source string, form string, first string, last string, n_chars int, n_bytes int, base_chars int, base_bytes int"
+_PARSED = "doc_id long, source string, form string, first string, last string, n_chars int, n_bytes int, base_chars int, base_bytes int, body long, role string, word string, n long"
 
 
-def endings(documents: DataFrame) -> DataFrame:
-    """One row per document with the form of its ending and its lengths; rows are not moved."""
+def parse(documents: DataFrame) -> DataFrame:
+    """Each text read once: a row per document with its ending (role null), and counts (role, word, n) of the lines inside texts.
+
+    The counts are those of one Arrow batch each; rows are not moved.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        names = ["form", "first", "last", "n_chars", "n_bytes", "base_chars", "base_bytes"]
+        import xxhash
+
+        string, small, long = pa.string(), pa.int32(), pa.int64()
+        kinds = [long, string, string, string, string, small, small, small, small, long, string, string, long]
+        names = [part.split()[0] for part in _PARSED.split(", ")]
         for batch in batches:
+            counts: Counter = Counter()
             rows = []
-            for text in batch.column(2).to_pylist():
+            for doc_id, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 form, first, last, chars, size = analyse(text)
-                rows.append((form, first, last, len(text or ""), len((text or "").encode()), chars, size))
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["doc_id", "source", *names])
+                raw = (text or "").encode()
+                rows.append((doc_id, source, form, first, last, len(text or ""), len(raw), chars, size, xxhash.xxh3_64_intdigest(raw) - (1 << 63), None, None, None))
+                if text:
+                    counts.update((role, word) for role, word, _ in inner_lines(text))
+                if form in ("line", "item") and last:
+                    counts["ends_text", last] += 1
+            rows.extend((None,) * 10 + (role, word, n) for (role, word), n in counts.items())
+            columns = list(zip(*rows)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
-    return documents.select("doc_id", "source", "text").mapInArrow(run, _ENDING)
+    return documents.select("doc_id", "source", "text").mapInArrow(run, _PARSED)
 
 
-def line_facts(documents: DataFrame) -> DataFrame:
-    """(word, begins_closed, begins_open, ends_open): counts over the inner lines of all documents."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update((role, word) for role, word, _ in inner_lines(text))
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["role", "word", "n"])
+def endings(parsed: DataFrame) -> DataFrame:
+    """One row per document with the form of its ending and its lengths."""
+    return parsed.where("role IS NULL").drop("role", "word", "n")
+
 
-    facts = documents.select("text").mapInArrow(run, "role string, word string, n long")
+ROLES = ("begins_closed", "begins_open", "ends_open", "ends_text")
+
+
+def line_facts(parsed: DataFrame) -> DataFrame:
+    """(word, begins_closed, begins_open, ends_open, ends_text): counts over the lines inside all documents and their closing lines."""
     total = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("n"))), F.lit(0)).alias(role)
-    return facts.groupBy("word").agg(total("begins_closed"), total("begins_open"), total("ends_open"))
+    return parsed.where("role IS NOT NULL").groupBy("word").agg(*map(total, ROLES))
 
 
 def length_hazards(ends: DataFrame) -> DataFrame:
-    """(source, measure, length, n, at_risk, hazard, expected, p_bound, significant) of every length that occurs.
+    """(source, measure, length, n, at_risk, hazard, near_hazard, expected, cut_share, p_bound, significant, is_limit) of every length that occurs.
 
-    expected: how many texts would end at the length by its neighbours' hazards. p_bound: an upper bound (Chernoff) of
-    the Poisson probability of at least n. significant: by Benjamini and Hochberg's rule among the lengths of
-    one source and measure. A null source is a source of its own.
+    Copies of a text count once. measure: n_chars and n_bytes of all texts, base_chars and base_bytes of those to which a
+    mark was appended, without it. near_hazard: ends per text at risk over the lengths up to NEIGHBOURS away, the length itself
+    left out. p_bound: an upper bound (Chernoff) of the binomial probability that, of the texts at risk, at least n end
+    here by that hazard. significant: by Benjamini and Hochberg's rule among the lengths of one source and measure.
+    cut_share: the part of n that near_hazard does not explain. A null source is a source of its own.
+
+    A family has a row per length that occurs, not per text, so its window stays small however many texts a source has.
     """
-    measures = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("n_chars", "n_bytes", "base_chars", "base_bytes")]))
-    counts = ends.where("base_chars > 0").select("source", measures.alias("m")).groupBy("source", "m.measure", "m.length").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda m, held: F.struct(F.lit(m).alias("measure"), F.when(held, F.col(m)).alias("length"))
+    marked = F.col("base_bytes") < F.col("n_bytes")
+    measures = F.explode(F.array(of("n_chars", F.lit(True)), of("n_bytes", F.lit(True)), of("base_chars", marked), of("base_bytes", marked)))
+    different = ends.where("base_chars > 0").select("source", "body", "n_chars", "n_bytes", "base_chars", "base_bytes").distinct()
+    counts = different.select("source", measures.alias("m")).where("m.length IS NOT NULL").groupBy("source", "m.measure", "m.length").agg(F.count(F.lit(1)).alias("n"))
     family = Window.partitionBy("source", "measure")
     reach = family.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = family.orderBy("length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     beyond = family.orderBy("length").rangeBetween(NEIGHBOURS + 1, Window.unboundedFollowing)
-    with_risk = counts.withColumn("at_risk", F.sum("n").over(reach)).withColumns(
-        {"hazard": F.col("n") / F.col("at_risk"), "around": F.sum("n").over(near) - F.col("n"), "later": F.coalesce(F.sum("n").over(beyond), F.lit(0))}
+    n, length = F.col("n").cast("double"), F.col("length").cast("double")
+    with_risk = counts.withColumns({
+        "at_risk": F.sum("n").over(reach), "ended": F.sum("n").over(near), "reached": F.sum(n * length).over(near), "later": F.coalesce(F.sum("n").over(beyond), F.lit(0)),
+    })
+    # Each text is at risk at every length up to its own.
+    low = F.greatest(F.lit(1.0), length - NEIGHBOURS)
+    exposure = F.col("reached") - (low - 1) * F.col("ended") + F.col("later") * (length + NEIGHBOURS - low + 1) - F.col("at_risk")
+    near_hazard = (F.col("ended") - F.col("n") + 1) / (exposure + 2)
+    risk, h = F.col("at_risk").cast("double"), F.col("near_hazard")
+    rest = risk - n
+    log_p = n * F.log(risk * h / n) + F.when(rest > 0, rest * F.log(risk * (1 - h) / rest)).otherwise(0.0)
+    tested = (
+        with_risk.withColumn("near_hazard", F.least(near_hazard, F.lit(0.999)))
+        .withColumn("expected", risk * h)
+        .withColumn("p_bound", F.when(n > F.col("expected"), F.exp(log_p)).otherwise(1.0))
     )
-    # Where nothing follows (a limit that all texts obey), the neighbours below tell the hazard.
-    spread = F.when(F.col("later") == 0, F.lit(float(NEIGHBOURS))).otherwise(F.lit(2.0 * NEIGHBOURS))
-    expected = (F.col("around") + 1) / spread
-    log_p = F.when(F.col("n") > F.col("expected"), F.col("n") - F.col("expected") + F.col("n") * F.log(F.col("expected") / F.col("n"))).otherwise(0.0)
-    tested = with_risk.withColumn("expected", expected).withColumn("p_bound", F.exp(log_p))
     by_p = family.orderBy("p_bound", "length")
     ranked = tested.withColumns({"place": F.row_number().over(by_p), "tests": F.count(F.lit(1)).over(family)})
     passed = F.max(F.when(F.col("p_bound") <= F.col("place") / F.col("tests") * FALSE_DISCOVERY_RATE, F.col("p_bound"))).over(family)
+    significant = F.coalesce((F.col("p_bound") <= F.col("limit_p")) & (F.col("n") >= LEAST_COUNT), F.lit(False))
+    cut_share = F.greatest(F.lit(0.0), 1 - F.col("expected") / n)
     return ranked.withColumn("limit_p", passed).select(
-        "source", "measure", "length", "n", "at_risk", "hazard", "expected", "p_bound",
-        F.coalesce((F.col("p_bound") <= F.col("limit_p")) & (F.col("n") >= LEAST_COUNT), F.lit(False)).alias("significant"),
+        "source", "measure", "length", "n", "at_risk", (n / risk).alias("hazard"), "near_hazard", "expected", cut_share.alias("cut_share"), "p_bound",
+        significant.alias("significant"), (significant & (cut_share >= CUT_SHARE)).alias("is_limit"),
     )
 
 
@@ -232,30 +274,28 @@ def truncated(documents: DataFrame) -> DataFrame:
     documents: (doc_id long, source string, text string). Null, empty and blank texts are not truncated. Whole texts
     are read; statistics cover all documents.
     """
-    ends = durable(endings(documents))
-    limits = length_hazards(ends).where("significant").select("source", "measure", "length")
-    facts = line_facts(documents)
+    parsed = durable(parse(documents))
+    ends, facts = endings(parsed), line_facts(parsed)
+    limits = length_hazards(ends).where("is_limit AND measure IN ('n_chars', 'n_bytes')")
     plain = ends.where("form IN ('whole', 'cut')")
     asked = ends.where("form NOT IN ('whole', 'cut')")
-    longest = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("n_chars", "n_bytes", "base_chars", "base_bytes")]))
+    both = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("n_chars", "n_bytes")]))
     at_limit = (
-        asked.select("doc_id", "source", longest.alias("m"))
-        .join(limits.select(F.col("source").alias("s"), F.col("measure").alias("mm"), F.col("length").alias("ll")), (F.col("source").eqNullSafe(F.col("s"))) & (F.col("m.measure") == F.col("mm")) & (F.col("m.length") == F.col("ll")))
+        asked.select("doc_id", "source", both.alias("m"))
+        .join(limits.select(F.col("source").alias("s"), F.col("measure").alias("mm"), F.col("length").alias("ll")), (F.col("source").eqNullSafe(F.col("s"))) & (F.col("m.measure") == F.col("mm")) & (F.col("m.length") == F.col("ll")), "left_semi")
         .select("doc_id").distinct().withColumn("at_limit", F.lit(True))
     )
     begins = facts.select(F.col("word").alias("first"), "begins_closed", "begins_open")
-    finals = facts.select(F.col("word").alias("last"), "ends_open")
+    finals = facts.select(F.col("word").alias("last"), "ends_open", "ends_text")
+    sums = facts.agg(F.sum("ends_open").alias("inner_ends"), F.sum("ends_text").alias("text_ends"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    known_end = zero("ends_open") > 0
+    # Rates, so that a slip inside one of very many texts makes no word known.
+    known_end = (zero("ends_open") > 0) & (zero("ends_open") * zero("text_ends") >= KNOWN_RATE * zero("ends_text") * zero("inner_ends"))
     sentence = zero("begins_closed") > 2 * zero("begins_open")
     near = F.coalesce("at_limit", F.lit(False))
-    verdict = (
-        F.when(F.col("form") == "line", sentence | ~known_end)
-        .when(F.col("form") == "item", ~known_end)
-        .otherwise(near & (F.col("form") == "pause"))
-    )
+    verdict = near | F.when(F.col("form") == "line", sentence | ~known_end).when(F.col("form") == "item", ~known_end).otherwise(False)
     judged = (
-        asked.join(at_limit, "doc_id", "left").join(begins, "first", "left").join(finals, "last", "left")
+        asked.join(at_limit, "doc_id", "left").join(begins, "first", "left").join(finals, "last", "left").crossJoin(sums)
         .select("doc_id", "source", "form", near.alias("at_limit"), verdict.alias("truncated"))
     )
     return plain.select("doc_id", "source", "form", F.lit(None).cast("boolean").alias("at_limit"), (F.col("form") == "cut").alias("truncated")).unionByName(judged)
