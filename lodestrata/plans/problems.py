@@ -156,6 +156,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT table_name, strftime(t, '%Y-%m') AS month, reason, count(*) AS n_references, count(DISTINCT record_id) AS n_records
             FROM dead GROUP BY ALL""",
         "p3_found": f"WITH RECURSIVE {_LINKS} SELECT DISTINCT least(id, ancestor) AS symbol_a, greatest(id, ancestor) AS symbol_b FROM pairs",
+        "p3_hierarchy": f"""WITH RECURSIVE {_CHAINS},
+            bad AS (SELECT DISTINCT c.id FROM chains c JOIN (SELECT DISTINCT id FROM chains WHERE id = ancestor) o ON o.id = c.ancestor),
+            longest AS (SELECT id, arg_max(up, len(up)) AS up FROM chains GROUP BY id),
+            spread AS (SELECT id, unnest(up) AS a, unnest(range(len(up))) AS k FROM longest),
+            above AS (SELECT s.id, string_agg(coalesce(l.name, ''), '/' ORDER BY s.k DESC) AS names FROM spread s JOIN links l ON l.id = s.a GROUP BY s.id),
+            below AS (SELECT ancestor AS id, count(*) AS n FROM chains GROUP BY ancestor)
+            SELECT n.file_path, l.id AS symbol_id, l.name, CASE WHEN bad.id IS NULL THEN coalesce(longest.up[-1], l.id) END AS root_id,
+                   CASE WHEN bad.id IS NULL THEN coalesce(len(longest.up), 0) END AS depth,
+                   CASE WHEN bad.id IS NULL THEN coalesce(above.names || '/', '') || coalesce(l.name, '') END AS path,
+                   coalesce(below.n, 0) AS n_descendants, bad.id IS NOT NULL AS cyclic
+            FROM links l JOIN named n ON n.symbol_id = l.id LEFT JOIN bad ON bad.id = l.id LEFT JOIN longest ON longest.id = l.id
+            LEFT JOIN above ON above.id = l.id LEFT JOIN below ON below.id = l.id""",
         "p3_descendants": f"WITH RECURSIVE {_CHAINS} SELECT ancestor AS symbol_id, id AS descendant_id, len(up) AS distance FROM chains",
         "p3_cycles": f"""WITH RECURSIVE {_CHAINS} SELECT n.file_path, c.id AS symbol_id, l.parent_id, list_min(c.up) AS cycle_id, len(c.up) AS length
             FROM chains c JOIN links l ON l.id = c.id JOIN named n ON n.symbol_id = c.id WHERE c.id = c.ancestor""",
