@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lodestrata.llm.neighbours import Codes, nearest, rotation, similar_pairs
+from lodestrata.llm.neighbours import Codes, Lists, nearest, rotation, similar_pairs
 
 SCHEMA = "id string, kind string, embedding array<float>, rank int"
 
@@ -44,6 +44,20 @@ def test_recall_with_few_probes(spark):
     assert len(got & truth) >= 0.9 * len(truth)
 
 
+def test_fine_centroids_refine_the_coarse_ones(spark):
+    """With few coarse centroids the number of lists stays, and so does the recall."""
+    points = cloud(400, 3)
+    truth, _ = brute(points, 5)
+    got = {(int(r.id[1:]), int(r.neighbour[1:])) for r in nearest(frame(spark, points), 5, 16, probes=12, coarse=5).collect()}
+    assert len(got & truth) >= 0.9 * len(truth)
+    sample = np.stack([p / np.linalg.norm(p) for p in points]).astype(np.float32)
+    lists = Lists(3, sample, 100_000, 40, 5)
+    assert len(lists.coarse) == 5 and len(lists) == 40 and lists.cells.min() == 3 and lists.last_cell - 3 >= len(set(lists.cells.tolist()))
+    centres = np.stack([lists.centre(k) for k in range(40)])
+    brutal = np.argmin(((sample[:, None, :] - centres[None]) ** 2).sum(axis=2), axis=1)
+    assert (lists.nearest(sample, 3)[:, 0] == brutal).mean() > 0.99
+
+
 def test_pairs(spark):
     points = cloud(200, 4)
     _, sims = brute(points, 10)
