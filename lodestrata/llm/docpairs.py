@@ -1,9 +1,11 @@
 """Functions paired with their documentation (problem 1).
 
-Method: around each function's line the text is parsed with generalised LL grammars and a graph-structured stack, over
-classes of lines (comments above it) or of tokens (a string that opens the body). Everything else is water, so broken files
-yield their whole functions too. Documentation that says nothing is dropped: by what is left when the function's own
-words are taken away, and, for templates that the corpus repeats, by the counts of their hashes.
+Method: functions are extracted from the files, broken ones too, by generalised LL grammars with graph-structured stacks and
+error recovery (``functions``), each with the comment that is attached to it; declarations without a body are read by a
+grammar over classes of lines. Documentation that says nothing is dropped: by what is left when the function's own words,
+tags, headings and directives are taken away. What may be a template (text about documentation or work that is still to
+be done, or that looks like a directive) is decided by the corpus: it is dropped if the hash of its template, the function's
+own words masked, is counted for several functions.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.gll import Grammar, Parse
 from lodestrata.llm.lexing import TOKENS
+from lodestrata.session import durable
 
 #: Line classes: c line comment, k block comment of one line, s/m/e its start, middle and end, d decorator, b blank, h the
 #: function's first line, o other.
@@ -162,21 +165,14 @@ def string_in_body(text: str, offset: int) -> str | None:
 
 
 def attached(text: str, lang: str, lines: list[int]) -> list[tuple[int, str | None]]:
-    """(line, comment or None) of the functions that begin at the 1-based lines."""
+    """(line, comment or None) of the functions that begin, or whose decorators begin, at the 1-based lines."""
+    from lodestrata.llm.functions import functions_of
+
+    docs = {line: f.doc for f in functions_of(text, lang, check=False)[0] for line in range(f.first, f.line + 1)}
     parts = _LINES.split(text)
-    out: list[tuple[int, str | None]] = []
-    if lang == "py":
-        starts = [0, *(m.end() for m in _LINES.finditer(text))]
-        for line in lines:
-            at = line - 1
-            # The head may stand below its decorators.
-            while 0 <= at < len(parts) and parts[at].lstrip().startswith("@"):
-                at += 1
-            out.append((line, string_in_body(text, starts[at]) if 0 <= at < len(parts) else None))
-        return out
-    for line in lines:
-        out.append((line, comment_above(parts, line - 1) if 0 < line <= len(parts) else None))
-    return out
+    # A line where no whole function begins may hold a declaration or the head of one that was cut off.
+    above = lambda line: comment_above(parts, line - 1) if lang != "py" and 0 < line <= len(parts) else None
+    return [(line, docs[line] if line in docs else above(line)) for line in lines]
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -189,11 +185,14 @@ _QUOTES = re.compile(r"^\s*[rRuU]?(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')\s*$")
 _DIRECTIVE = re.compile(
     r"(?:noqa|nolint|nosec|nosonar|pylint|flake8|mypy|pyright|ruff|isort|black|fmt|yapf|type\s*:\s*ignore|pragma|eslint|tslint|jshint|jslint|prettier|stylelint|biome|istanbul|c8|@ts-|ts-ignore|"
     r"@?suppresswarnings|checkstyle|clang-format|clang-tidy|cspell|codespell|spell-?checker|go:|\+build|lint:|golint|revive|coverage|v8 ignore|webpack|@formatter|sonar|noinspection|region|endregion)"
-    r"(?:\b|[:\-]).*",
+    r"(?:\b|[:\-])",
     re.IGNORECASE,
 )
-#: Marks of work to be done; the whole line is about the work.
-_TO_DO = re.compile(r"^\W*(?:todo|fixme|xxx|hack|tbd|wip)\b(?:\s*\([^)]*\))?.*", re.IGNORECASE)
+#: Words after a tool's name that make the line a directive; so do signs and at most three words without a full stop.
+_ORDERS = frozenset("disable enable ignore off on skip next start end no all".split())
+#: Marks of work to be done. With a sign the whole line is about the work, else it may be.
+_TO_DO = re.compile(r"^\W*(?:todo|fixme|xxx|hack|tbd|wip)\b(?:\s*\([^)]*\))?\s*(?:[^\w\s].*)?$", re.IGNORECASE)
+_MAY_BE_TO_DO = re.compile(r"^\W*(?:todo|fixme|xxx|hack|tbd|wip)\b", re.IGNORECASE)
 #: Words that speak about documentation, or stand where it is missing.
 META_WORDS = frozenset(
     """
@@ -259,27 +258,58 @@ def own_words(name: str | None, signature: str | None, more: str | None = None)
     return frozenset(words)
 
 
+def _is_order(text: str) -> bool | None:
+    """Whether a line is a directive to a tool; None if it may be one."""
+    text = text.lstrip("@ \t")
+    found = _DIRECTIVE.match(text)
+    if not found:
+        return False
+    rest = text[found.end() :]
+    words = rest.split()
+    sure = not words or text[: found.end()][-1] in ":-" or rest[0] in ":-=(/,[" or words[0].lower().strip(":-=") in _ORDERS or len(words) <= 3 and rest[-1] not in ".!?"
+    return True if sure else None
+
+
+def _line_kind(text: str, own: frozenset[str]) -> tuple[str, str]:
+    """(tells, doubt or '', the line without tags)."""
+    if not text or _UNDERLINE.match(text) or _NO_TEXT.match(text) or _SECTION.match(text) or _TO_DO.match(text):
+        return "", text
+    order = _is_order(text)
+    if order:
+        return "", text
+    text = _TAG.sub(" ", text)
+    words = words_of(text)
+    rest = [w for w in words if w not in _EMPTY_WORDS and _stem(w) not in own]
+    if not rest:
+        return "", text
+    whole = [w for w in words if _stem(w) not in own]
+    if all(w in META_WORDS for w in whole) and any(w in _CORE_META for w in whole):
+        return ("doubt" if len(words) > 2 else ""), text
+    return ("doubt" if order is None or _MAY_BE_TO_DO.match(text) else "tells"), text
+
+
+def _texts(doc: str, own: frozenset[str]) -> dict[str, str]:
+    kept: dict[str, list[str]] = {"tells": [], "doubt": [], "": []}
+    for line in clean(doc).split("\n"):
+        kind, text = _line_kind(line.strip(), own)
+        kept[kind].append(text)
+    return {kind: "\n".join(lines) for kind, lines in kept.items()}
+
+
 def telling_text(doc: str, own: frozenset[str]) -> str:
     """The lines that say more than the function's own words, tags, directives, headings and placeholders; '' if none does."""
-    kept: list[str] = []
-    for line in clean(doc).split("\n"):
-        text = line.strip()
-        if not text or _UNDERLINE.match(text) or _NO_TEXT.match(text) or _SECTION.match(text) or _TO_DO.match(text) or _DIRECTIVE.fullmatch(text.lstrip("@ \t")) or _DIRECTIVE.fullmatch(text):
-            continue
-        text = _TAG.sub(" ", text)
-        words = words_of(text)
-        rest = [w for w in words if w not in _EMPTY_WORDS and _stem(w) not in own]
-        whole = [w for w in words if _stem(w) not in own]
-        if rest and all(w in META_WORDS for w in whole) and any(w in _CORE_META for w in whole):
-            continue
-        if rest:
-            kept.append(text)
-    return "\n".join(kept)
+    return _texts(doc, own)["tells"]
+
+
+def doubtful_text(doc: str, own: frozenset[str]) -> str:
+    """What may be a template: the lines in doubt where no line tells anything, or what is told about work on documentation."""
+    texts = _texts(doc, own)
+    return texts["doubt"] if not texts["tells"] else texts["tells"] if is_meta(texts["tells"]) else ""
 
 
 def template_of(text: str, own: frozenset[str]) -> str:
-    """The text with the function's own words and numbers masked."""
-    return " ".join("_" if _stem(w) in own else w for w in words_of(text))
+    """The text's words, with the function's own masked but for those that speak about documentation."""
+    return " ".join("_" if _stem(w) in own and w not in META_WORDS else w for w in words_of(text))
 
 
 def is_meta(text: str) -> bool:
@@ -290,8 +320,8 @@ def is_meta(text: str) -> bool:
 
 #: Words about work on documentation that is still to be done.
 _ABOUT_WORK = frozenset("todo write written later soon pending missing release yet nobody someone describe insert fill coming needed placeholder stub folgt fehlt später pendiente falta venir manquante".split())
-#: A template is dropped as repeated if so many functions have it and it speaks about work on documentation.
-REPEATED = 5
+#: What may be a template is one if functions of so many names have it.
+REPEATED = 3
 
 
 def judge(functions: DataFrame) -> DataFrame:
@@ -300,8 +330,8 @@ def judge(functions: DataFrame) -> DataFrame:
     Other columns are kept, but for description, informative, says, template and repeated, which are replaced or left out.
 
     informative: whether the documentation says anything beyond the function's own name, signature and parameter
-    names. Null documentation is not informative. Templates that at least REPEATED functions share and that speak of
-    documentation still to be written are dropped by their hashes' counts over the whole corpus.
+    names. Null documentation is not informative. What is in doubt (``doubtful_text``) is informative unless functions of
+    at least REPEATED different names have the same template, counted by hashes over the whole corpus.
     """
     names = [c for c in functions.columns if c not in ("description", "informative", "says", "template", "repeated")]
     schema = functions.select(*names).schema
@@ -321,9 +351,9 @@ def judge(functions: DataFrame) -> DataFrame:
                     continue
                 own = own_words(name, signature, context)
                 texts.append(clean(doc))
-                told = telling_text(doc, own)
-                verdicts.append(bool(told))
-                hashes.append(xxhash.xxh3_64_intdigest(template_of(told, own)) - (1 << 63) if told and is_meta(told) else None)
+                doubt = doubtful_text(doc, own)
+                verdicts.append(bool(doubt or telling_text(doc, own)))
+                hashes.append(xxhash.xxh3_64_intdigest(template_of(doubt, own)) - (1 << 63) if doubt else None)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string()), pa.array(verdicts, pa.bool_()), pa.array(hashes, pa.int64())], [*names, "description", "says", "template"]
             )
@@ -331,8 +361,10 @@ def judge(functions: DataFrame) -> DataFrame:
     from pyspark.sql import types as T
 
     out = T.StructType([*schema, T.StructField("description", T.StringType()), T.StructField("says", T.BooleanType()), T.StructField("template", T.LongType())])
-    judged = functions.select(*names).mapInArrow(run, out)
-    repeated = judged.where("template IS NOT NULL").groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPEATED).select("template", F.lit(True).alias("repeated"))
+    # The texts are judged once, for the counts and for the result.
+    judged = durable(functions.select(*names).mapInArrow(run, out))
+    named = judged.where("template IS NOT NULL").select("template", "name").distinct()
+    repeated = named.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPEATED).select("template", F.lit(True).alias("repeated"))
     return judged.join(repeated, "template", "left").select(*names, "description", (F.col("says") & F.col("repeated").isNull()).alias("informative"))
 
 
@@ -357,21 +389,3 @@ def attached_comments(positions: DataFrame, contents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.string()), pa.array(list(columns[1]), pa.int32()), pa.array(list(columns[2]), pa.string())], ["path", "line", "doc"])
 
     return joined.mapInArrow(run, "path string, line int, doc string")
-
-
-def code_of(spans: DataFrame, contents: DataFrame) -> DataFrame:
-    """(path, start, finish, code) of the 1-based inclusive line spans (path, start, finish) that lie in contents (path, content)."""
-    asked = spans.where("start IS NOT NULL AND finish IS NOT NULL").groupBy("path").agg(F.collect_set(F.struct("start", "finish")).alias("spans"))
-    joined = asked.join(contents.where("content IS NOT NULL").select("path", "content"), "path").select("path", "content", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                lines = _LINES.split(text)
-                rows.extend((path, w["start"], w["finish"], "\n".join(lines[w["start"] - 1 : w["finish"]])) for w in wanted if 0 < w["start"] <= w["finish"] <= len(lines))
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["path", "start", "finish", "code"])
-
-    return joined.mapInArrow(run, "path string, start int, finish int, code string")

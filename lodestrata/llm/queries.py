@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import docpairs, neighbours, packing, provenance, splitting, syntax, tokens, truncation
+from lodestrata.llm import docpairs, functions, neighbours, packing, provenance, splitting, syntax, tokens, truncation
 from lodestrata.session import durable
 from lodestrata.sources.tables import FILE_EVENTS, current_contents, latest_contents, table
 
@@ -18,40 +18,59 @@ PIECE_OVERLAP = 200
 BIN_CAPACITY = 2048
 
 
-def _documented(spark: SparkSession, directory: str) -> DataFrame:
-    """Functions and methods of symbols and concepts with their documentation, judged."""
-    symbols = (
-        table(spark, directory, "symbols").where(F.col("kind").isin("function", "method", "constructor"))
-        .select("symbol_id", F.col("file_path").alias("path"), "name", "signature", F.when(F.col("kind") == "constructor", F.col("parent")).alias("context"), F.col("start_line").alias("line"), "end_line", "docstring")
+_KINDS = ("function", "method", "constructor")
+
+
+def _function_symbols(spark: SparkSession, directory: str) -> DataFrame:
+    return (
+        table(spark, directory, "symbols").where(F.col("kind").isin(*_KINDS))
+        .select("symbol_id", F.col("file_path").alias("path"), "name", "signature", F.when(F.col("kind") == "constructor", F.col("parent")).alias("context"), F.col("start_line").alias("line"), "docstring")
         .dropDuplicates(["symbol_id"])
     )
-    silent = symbols.where("docstring IS NULL")
-    contents = latest_contents(table(spark, directory, "file_changes"))
-    comments = docpairs.attached_comments(silent.select("path", "line"), contents)
-    common = [F.col("symbol_id").cast("string").alias("record_id"), "path", "name", "signature", "context", "line", "end_line"]
-    spoken = symbols.where("docstring IS NOT NULL").select(*common, F.col("docstring").alias("doc"))
-    read = silent.join(comments, ["path", "line"]).select(*common, "doc")
-    concepts = (
+
+
+def _function_concepts(spark: SparkSession, directory: str) -> DataFrame:
+    return (
         table(spark, directory, "semantic_concepts").where(F.col("concept_type").isin("function", "method") & F.col("description").isNotNull())
-        .select(F.col("id").alias("record_id"), F.col("file_path").alias("path"), "name", "signature", F.lit(None).cast("string").alias("context"), F.col("line_start").alias("line"), F.col("line_end").alias("end_line"), F.col("description").alias("doc"))
+        .select(F.lit("semantic_concepts").alias("table_name"), F.col("id").alias("record_id"), "name", "signature", F.lit(None).cast("string").alias("context"), F.col("description").alias("doc"))
         .dropDuplicates(["record_id"])
     )
-    of = lambda frame, name: frame.withColumn("table_name", F.lit(name))
-    return docpairs.judge(of(spoken.unionByName(read), "symbols").unionByName(of(concepts, "semantic_concepts"))).where("informative")
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
-    return _documented(spark, directory).select("table_name", "record_id").distinct()
+    """Functions and methods of symbols and concepts whose documentation says something."""
+    symbols = _function_symbols(spark, directory)
+    silent = symbols.where("docstring IS NULL")
+    comments = docpairs.attached_comments(silent.select("path", "line"), latest_contents(table(spark, directory, "file_changes")))
+    common = [F.lit("symbols").alias("table_name"), F.col("symbol_id").cast("string").alias("record_id"), "name", "signature", "context"]
+    spoken = symbols.where("docstring IS NOT NULL").select(*common, F.col("docstring").alias("doc"))
+    read = silent.join(comments, ["path", "line"]).select(*common, "doc")
+    judged = docpairs.judge(spoken.unionByName(read).unionByName(_function_concepts(spark, directory)))
+    return judged.where("informative").select("table_name", "record_id").distinct()
 
 
 def p1_pairs(spark: SparkSession, directory: str) -> DataFrame:
-    found = durable(_documented(spark, directory))
-    contents = latest_contents(table(spark, directory, "file_changes"))
-    spans = found.where("table_name = 'symbols'").select("path", F.col("line").alias("start"), F.col("end_line").alias("finish"))
-    code = docpairs.code_of(spans, contents).select("path", F.col("start").alias("line"), F.col("finish").alias("end_line"), "code")
-    return found.join(code, ["path", "line", "end_line"], "left").select(
-        "table_name", "record_id", "name", F.coalesce(F.when(F.col("table_name") == "symbols", F.col("code")), "signature", "name").alias("code"), "description"
+    """Code and description of every documented function.
+
+    Functions come from the files themselves (table_name is files, record_id null, where symbols do not know them); a symbol
+    whose line begins none, and concepts, give their signature as code. The docstring of a symbol goes before what is attached.
+    """
+    found = durable(functions.extract(latest_contents(table(spark, directory, "file_changes"))))
+    symbols = durable(_function_symbols(spark, directory))
+    lines = found.select("path", "first", F.explode(F.sequence("first", F.col("line"))).alias("line"))
+    known = symbols.join(lines, ["path", "line"]).groupBy("path", "first").agg(F.min(F.struct("symbol_id", "signature", "context", "docstring")).alias("s"))
+    matched = symbols.join(lines.select("path", "line").distinct(), ["path", "line"], "left_semi").select("symbol_id")
+    of_files = found.join(known, ["path", "first"], "left").select(
+        F.when(F.col("s").isNull(), "files").otherwise("symbols").alias("table_name"), F.col("s.symbol_id").cast("string").alias("record_id"), "path", "first", "last", "name",
+        F.coalesce("s.signature", F.substring_index("code", "\n", 1)).alias("signature"), "s.context", F.coalesce("s.docstring", "doc").alias("doc"), "code", "in_broken_file",
+    )
+    nowhere = [F.lit(None).cast(t).alias(n) for n, t in (("path", "string"), ("first", "int"), ("last", "int"))] + [F.lit(None).cast("boolean").alias("in_broken_file")]
+    alone = symbols.join(matched, "symbol_id", "left_anti").select(
+        F.lit("symbols").alias("table_name"), F.col("symbol_id").cast("string").alias("record_id"), "name", "signature", "context", F.col("docstring").alias("doc"), F.coalesce("signature", "name").alias("code"), *nowhere
     )
+    concepts = _function_concepts(spark, directory).withColumn("code", F.coalesce("signature", "name")).select("*", *nowhere)
+    judged = docpairs.judge(of_files.unionByName(alone).unionByName(concepts)).where("informative")
+    return judged.select("table_name", "record_id", "path", F.col("first").alias("first_line"), F.col("last").alias("last_line"), "name", "code", "description", "in_broken_file")
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:

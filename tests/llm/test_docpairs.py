@@ -78,9 +78,24 @@ def test_judge(spark):
     assert dp.judge(spark.createDataFrame([], FUNCTIONS)).count() == 0
 
 
-def test_attached_comments_and_code(spark):
+def test_attached_comments(spark):
     contents = spark.createDataFrame([("a.js", "// d\nfunction f() {\n}\n", 1), ("b.js", None, 1), ("c.py", "def g():\n  'x'\n", 1)], "path string, content string, line int")
     asked = spark.createDataFrame([("a.js", 2), ("a.js", 2), ("a.js", 77), ("a.js", None), ("b.js", 1), ("zz.js", 1), ("c.py", 1), (None, 1)], "path string, line int")
     assert {tuple(r) for r in dp.attached_comments(asked, contents).collect()} == {("a.js", 2, "// d"), ("c.py", 1, "'x'")}
-    spans = spark.createDataFrame([("a.js", 2, 3), ("a.js", 3, 2), ("a.js", 1, 99), ("b.js", 1, 1)], "path string, start int, finish int")
-    assert [tuple(r) for r in dp.code_of(spans, contents).collect()] == [("a.js", 2, 3, "function f() {\n}")]
+
+
+@pytest.mark.parametrize(
+    ("name", "doc"),
+    [("annotate", "Add comments to the document."), ("items", "TODO list of the user, newest first."), ("roi", "Region of interest in pixels."), ("mask", "Black pixels are masked."), ("cov", "Coverage of the genome by reads."), ("lint", "region of the text that pylint reads")],
+)
+def test_doubt_is_settled_by_the_counts_of_templates(spark, name, doc):
+    own = dp.own_words(name, None)
+    assert dp.telling_text(doc, own) or dp.doubtful_text(doc, own)
+    once = dp.judge(spark.createDataFrame([(1, name, None, None, doc, "t")], FUNCTIONS)).first()
+    assert once.informative
+    if not dp.telling_text(doc, own):
+        often = dp.judge(spark.createDataFrame([(i, f"{name}{'abc'[i]}x", None, None, doc, "t") for i in range(3)] + [(9, "other", None, None, "Keeps order.", "t")], FUNCTIONS))
+        assert {r.id for r in often.where("informative").collect()} == {9}
+        # Copies under one name are one function.
+        same = dp.judge(spark.createDataFrame([(i, name, None, None, doc, "t") for i in range(5)], FUNCTIONS))
+        assert same.where("informative").count() == 5
