@@ -15,7 +15,9 @@ import sys
 NUMBER, STRING, TEMPLATE, REGEX, PRIVATE, WORD, BAD, NL = "n", "s", "t", "r", "#", "i", "\x00", "\n"
 _GROUP = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
 _FIRST_GROUP = 0x20000
-_LAST_GROUP = 0x10FFFF
+_LAST_GROUP = 0x10EFFF
+#: Symbols of classes of groups, for texts with more different shapes than there are symbols.
+_FIRST_CLASS = 0x10F000
 #: Shapes that a worker remembers before its tables start anew.
 _MOST_GROUPS = 250_000
 _MOST_LINES = 500_000
@@ -67,6 +69,8 @@ class Language:
     def reset(self) -> None:
         self.groups: dict[str, str] = {}
         self.bodies: list[str] = []
+        self.classed: dict[tuple, str] = {}
+        self.class_bodies: list[str] = []
         self.roles: dict[tuple[str, str], bool] = {}
         self.lines: dict[tuple[str, str], bool] = {}
 
@@ -101,16 +105,26 @@ class Language:
         symbol = self.groups.get(text)
         if symbol is None:
             if len(self.bodies) > _LAST_GROUP - _FIRST_GROUP:
-                return BAD
+                return self._class_symbol(text)
             symbol = self.groups[text] = chr(_FIRST_GROUP + len(self.bodies))
             self.bodies.append(text)
         return symbol
 
+    def _class_symbol(self, text: str) -> str:
+        """The symbol of all groups that are read in the same roles, which is all that outer statements ask of a group."""
+        roles = (name.removeprefix("role_") for name in dir(self.reader("")) if name.startswith("role_"))
+        key = (text[:2], *(self.whole(text[1:-1], role) for role in roles))
+        symbol = self.classed.get(key)
+        if symbol is None:
+            symbol = self.classed[key] = chr(_FIRST_CLASS + len(self.class_bodies))
+            self.class_bodies.append(text)
+        return symbol
+
     def valid_tokens(self, tokens: list[str]) -> bool:
         """Whether the tokens of a balanced text form a unit of the language.
 
-        What a worker remembers is bounded: between texts the tables start anew when they have grown large. A text
-        with more different group shapes than there are symbols (over 900,000) cannot be read and counts as invalid.
+        What a worker remembers is bounded: between texts the tables start anew when they have grown large. In a text
+        with more different group shapes than there are symbols (over 900,000), further ones share symbols by their roles.
         """
         if len(self.bodies) > _MOST_GROUPS or len(self.lines) > _MOST_LINES or len(self.roles) > _MOST_LINES:
             self.reset()
@@ -144,11 +158,12 @@ class Language:
         return flat
 
     def body(self, symbol: str) -> str:
-        return self.bodies[ord(symbol) - _FIRST_GROUP]
+        place = ord(symbol)
+        return self.class_bodies[place - _FIRST_CLASS] if place >= _FIRST_CLASS else self.bodies[place - _FIRST_GROUP]
 
     def kind(self, symbol: str) -> str:
         """The opening bracket of a group symbol, '' for anything else."""
-        return self.bodies[ord(symbol) - _FIRST_GROUP][0] if ord(symbol) >= _FIRST_GROUP else ""
+        return self.body(symbol)[0] if ord(symbol) >= _FIRST_GROUP else ""
 
     def fits(self, symbol: str, role: str) -> bool:
         key = (symbol, role)
@@ -345,6 +360,8 @@ class JsReader(Reader):
                 self.import_declaration()
             elif self.on("export"):
                 self.export_declaration()
+            elif self.on("return", "break", "continue"):
+                raise Wrong
             else:
                 self.statement()
 

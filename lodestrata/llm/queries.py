@@ -16,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 PIECE_LIMIT = 4000
 PIECE_OVERLAP = 200
 BIN_CAPACITY = 2048
+#: Characters of the chunks whose maps are reduced over partitions.
+CHUNK = 2048
 
 
 _KINDS = ("function", "method", "constructor")
@@ -82,6 +84,12 @@ def p4_rates(spark: SparkSession, directory: str) -> DataFrame:
     return syntax.rates(syntax.check_files(current_contents(table(spark, directory, "file_changes"))))
 
 
+def p4_balance(spark: SparkSession, directory: str) -> DataFrame:
+    """Whether each current file's literals, comments and brackets are closed, from the maps of chunks that lie anywhere."""
+    rows = syntax.chunk_rows(current_contents(table(spark, directory, "file_changes")), CHUNK)
+    return syntax.chunk_spans(rows).select(F.col("path").alias("file_path"), "balanced")
+
+
 def _oversized(spark: SparkSession, directory: str, limit: int) -> DataFrame:
     """Changes with content above the limit and the symbol boundaries of their text.
 
@@ -185,6 +193,7 @@ def queries() -> dict[str, Query]:
         "p1_pairs": p1_pairs,
         "p4_found": p4_found,
         "p4_rates": p4_rates,
+        "p4_balance": p4_balance,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p6_found": p6_found,

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,20 +36,26 @@ def _json_fits(tokens: list[str]) -> bool:
     return grammar.reduce_nested(flat, lambda text: "v" if _JSON_GROUP.fullmatch(text) else "?") in ("s", "n", "v")
 
 
-def is_valid(text: str, lang: str) -> bool:
-    """Whether a whole text is syntactically valid in the language; empty text is, but for JSON and Go."""
+def is_valid(text: str, lang: str, size: int = lexing.CHUNK) -> bool:
+    """Whether a whole text is syntactically valid in the language; empty text is, but for JSON and Go. size: characters of a chunk."""
     if lang == "py":
         # Line ends carry meaning, so the text begins with one.
         text = "\n" + text.removeprefix("﻿")
     elif lang != "json":
         text = text.removeprefix("﻿")
-    tokens = lexing.tokenize(text, lang)
-    span = lexing.span_of(tokens, lang) if len(text) <= lexing.CHUNK else lexing.file_span(text, lang)
+    span, tokens = lexing.lex(text, lang, size)
     if lang == "py":
         return span.balanced and python_grammar.fits(tokens) or python_grammar.parses(text[1:])
-    if not span.balanced:
+    if span.balanced and (_json_fits(tokens) if lang == "json" else grammar.language(lang).valid_tokens(tokens)):
+        return True
+    if lang not in ("js", "ts") or not _SLASH.search(text):
         return False
-    return _json_fits(tokens) if lang == "json" else grammar.language(lang).valid_tokens(tokens)
+    # Only the statement tells whether a slash after a parenthesis divides; this is the other reading.
+    span, tokens = lexing.lex(text, lang, size, after_head=True)
+    return span.balanced and grammar.language(lang).valid_tokens(tokens)
+
+
+_SLASH = re.compile(r"\) ?/(?![/*])")
 
 
 def check_files(files: DataFrame) -> DataFrame:
@@ -80,10 +87,23 @@ def rates(checked: DataFrame) -> DataFrame:
     )
 
 
+def chunk_rows(files: DataFrame, size: int = lexing.CHUNK) -> DataFrame:
+    """(path, pos, language, chunk): the chunks of files (path, content) in the known languages; rows are not moved."""
+    named = files.where("content IS NOT NULL").select("path", path_extension(F.col("path")).alias("language"), "content").where(F.col("language").isin(*LANGUAGES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, pos, lang, chunk) for path, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))) for pos, chunk in enumerate(lexing.chunks(text, size))]
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()))], ["path", "pos", "language", "chunk"])
+
+    return named.mapInArrow(run, "path string, pos long, language string, chunk string")
+
+
 def chunk_spans(chunk_rows: DataFrame) -> DataFrame:
     """Spans of files that are stored as several rows (path, pos, language, chunk): (path, balanced).
 
-    Chunks have to end at line ends. Each is summarised where it lies; only the small summaries are shuffled and
+    All chunks but the first have to begin with a line end, as those of ``chunk_rows`` do. Each is summarised where it lies; only the small summaries are shuffled and
     reduced per path in the order of ``pos``.
     """
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +120,7 @@ def chunk_spans(chunk_rows: DataFrame) -> DataFrame:
         summarise, "path string, pos long, start string, end string, closers string, openers string, broken boolean"
     )
 
-    def fold(key: tuple, frame):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total: dict[str, lexing.Span] | None = None
         for _, part in frame.sort_values("pos", kind="stable").groupby("pos"):
             own = {r.start: lexing.Span(r.end, r.closers, r.openers, bool(r.broken)) for r in part.itertuples()}

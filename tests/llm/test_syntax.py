@@ -14,6 +14,7 @@ VALID = {
         "class A extends B { #p = 1; static async *m(a, b = 2) { yield* a; } get x() { return this.#p } static { f() } }", "label: while (true) { break label }", "a?.b?.[c]?.(d) ?? e;", "var r = /[/]\\/x/g.test(s);",
         "export default async function () {}", "import a, {b as c} from './d';", "export * as ns from 'm';", "do { x++ } while (x < 3)", "switch (a) { case 1: f(); default: g() }", "try { a() } catch { b() } finally { c() }",
         "!function(e,t){var n=[1,,2];for(var i=0;i<3;i++)e.push(i);return n?n.a(1):!1}(this);", "const f = async (a) => { await a };", "// only a comment", "x = function () { return }\n(y)", "[a, b] = [b, a];", "({a} = b);", "new Foo;",
+        "const a = `${x.map(y => { return { z: 1 }; })}`;", "if (x) /ab+c/.test(y);", "a = (b) / c / d;", "const b = `${f({a: {b: '}'}})} \\` ${`${g(`h`)}`}`; i();",
     ],
     "ts": [
         "function f<T extends object>(a: T, b?: number, ...c: string[]): Promise<Map<string, T[]>> { return g as any }", "interface A<T> extends B, C<T> { readonly a: string; m?(x: number): void; [k: string]: any }",
@@ -38,7 +39,7 @@ VALID = {
     "py": ["", "x = 1\n", "def f(a, *, b: int = 2) -> None:\n\t'''doc'''\n\tpass\n", "match x:\n  case [1, *r]: pass\n  case _:\n    y\n", "if a: b\nelif c:\n    d\nelse: e\n", "try:\n  a\nexcept (B, C) as e:\n  pass\nelse:\n  b\nfinally:\n  c\n", "x = (1,\n  2)\n@d\nclass A(B): pass\n", "for i in x:\n  pass\nelse:\n  y\n", "s = f'{a!r:>{w}}' 'b' if 0 else '\\\n'\n", "async def f():\n  async with a as b: await c\n", "match = case = type = 1\nmatch(x)\n", "# c\n\n  # d\n"],
 }
 INVALID = {
-    "js": ["let = = 1", "f(a, b", "x = 'open", "/* open", "`open", "<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b\n", "function (a) {}", "let a = 1 let b = 2", "return return", "if (a {", "}", "a + ;", "function f(a: number) {}", "def f():\n  pass\n", "<!DOCTYPE html><p>x</p>", "x = &quot;a&quot;;", "“a”", "for (let i = 0; i < 3) {}", "class A { f( { } }", "1 = 2;", "else x"],
+    "js": ["let = = 1", "f(a, b", "x = 'open", "/* open", "`open", "<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b\n", "function (a) {}", "let a = 1 let b = 2", "return return", "if (a {", "}", "a + ;", "function f(a: number) {}", "def f():\n  pass\n", "<!DOCTYPE html><p>x</p>", "x = &quot;a&quot;;", "“a”", "for (let i = 0; i < 3) {}", "class A { f( { } }", "1 = 2;", "else x", "return 1", "break;", "const a = `${b;", "const a = `${{}`; f();"],
     "ts": ["let a: = 1;", "function f(a number) {}", "interface A { a: string b: number }", "enum E { A B }", "const x: number string = 1;"],
     "java": ["class A { void f() { x + y; } }", "class A { int x }", "class A { void f() { int x = 1 } }", "class { }", "void f() {}", "class A { void f( { } }", "package a import b;", "class A { void f() { if x { } } }", "class A {", "class A { for (;;) {} }"],
     "go": ["", "func f() {}", "package a\nfunc f() { if x = 1 { } }\n", "package a\nfunc f()\n{\n}\n", "package a\nvar x = f(1,\n2\n)\n", "package a\nfunc f() { a b }\n", "package a\nx := 1\n", "package a\nfunc f( {}\n", "package a\nfunc f() { for i := 0; i < 3 { } }\n"],
@@ -80,7 +81,8 @@ def test_json_equals_the_library(value, at, junk):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a {\n", "}\n", "(\n", ")\n", "'x'\n", "/* c\n", "c */\n", "`t\n", "t`\n", "// }\n", "[]\n"]), max_size=12))
 def test_chunk_maps_are_associative_and_equal_the_whole(lines):
-    maps = [lexing.summarize(line, "js") for line in lines] or [lexing.summarize("", "js")]
+    pieces = lexing.chunks("".join(lines), 1)
+    maps = [lexing.summarize(piece, "js") for piece in pieces]
     left = reduce(lexing.combine, maps)
     right = maps[-1]
     for m in reversed(maps[:-1]):
@@ -91,6 +93,39 @@ def test_chunk_maps_are_associative_and_equal_the_whole(lines):
     assert lexing.file_span("".join(lines), "js", size=3).balanced == whole.balanced
 
 
+BORDERS = {
+    "js": ["x = `a\n\\`b ${f(`c\n${{d: 1}}`)}\n`;\nif (y) {\n/* } \n*/ z()\n}\n", "x = `\n${a\n+ `${\nb}`}\n`;\n", "f('a\\\nb')\n"],
+    "java": ['class A { String s = """\n a \\""" b\n \\\\""";\n int x = 1; /*\n"""*/ }\n'],
+    "go": ["package a\nvar x = `\n\\`\nvar y = 1\n"],
+    "py": ["x = '''a\n\\''' b\n'''\nif x:\n    y = (1,\n  2)\n\n    # c\n    z = \\\n  3\nw\n", 'def f():\r\n    """a\r\n  """\r\n    return 1\r\n'],
+    "json": ['{"a":\n[1,\n2]}\n'],
+}
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 9, 17, 1000])
+@pytest.mark.parametrize(("lang", "text"), [(lang, t) for lang, texts in BORDERS.items() for t in texts])
+def test_chunk_borders_do_not_change_tokens_or_verdicts(lang, text, size):
+    def merged(tokens):
+        """Line ends that follow one another are one, with the last one's indentation."""
+        out = []
+        for token in tokens:
+            is_end = token[0] in "\n\r"
+            if is_end and out and out[-1][0] in "\n\r":
+                out.pop()
+            out.append("\n" + token[max(token.rfind("\n"), token.rfind("\r")) + 1 :] if is_end else token)
+        return out
+
+    span, tokens = lexing.lex(text, lang, size)
+    whole = lexing.tokenize(text, lang)
+    assert span == lexing.span_of(whole, lang) and merged(tokens) == merged(whole)
+    assert syntax.is_valid(text, lang, size) and "".join(lexing.chunks(text, size)) == text
+
+
+@pytest.mark.parametrize(("lang", "text", "expected"), [(lang, t, True) for lang, ts in VALID.items() for t in ts] + [(lang, t, False) for lang, ts in INVALID.items() for t in ts])
+def test_verdicts_in_small_chunks(lang, text, expected):
+    assert syntax.is_valid(text, lang, 3) == expected
+
+
 def test_deep_and_long_texts():
     assert syntax.is_valid("x = " + "(" * 3000 + "1" + ")" * 3000 + ";", "js")
     assert syntax.is_valid("[" * 20_000 + "]" * 20_000, "json")
@@ -106,7 +141,9 @@ def test_tables_start_anew_between_texts(monkeypatch):
         assert js.valid_tokens(lexing.tokenize(text, "js"))
         assert len(js.bodies) <= 3 + 4
     monkeypatch.setattr(grammar, "_LAST_GROUP", grammar._FIRST_GROUP + 1)
-    assert not grammar.JavaScript().valid_tokens(lexing.tokenize("f(a); g(b, c); h(d, e, f); i(1);", "js"))
+    few = grammar.JavaScript()
+    assert few.valid_tokens(lexing.tokenize("f(a); g(b, c); h(d, e, f); i(1); if (x) { y([1, 2], {z: [3]}) }", "js")) and few.class_bodies
+    assert not few.valid_tokens(lexing.tokenize("f(a); g(b, c); h(d, e, f); i(1 2);", "js"))
 
 
 def test_frame(spark):
@@ -120,6 +157,14 @@ def test_frame(spark):
 
 
 def test_chunk_rows(spark):
-    rows = [("a.js", 0, "js", "f(\n"), ("a.js", 1, "js", "/* )\n"), ("a.js", 2, "js", "*/ )\n"), ("b.js", 0, "js", "f(\n"), ("b.js", 1, "js", None)]
+    rows = [("a.js", 0, "js", "f("), ("a.js", 1, "js", "\n/* )"), ("a.js", 2, "js", "\n*/ )\n"), ("b.js", 0, "js", "f(\n"), ("b.js", 1, "js", None)]
     got = {r.path: r.balanced for r in syntax.chunk_spans(spark.createDataFrame(rows, "path string, pos int, language string, chunk string")).collect()}
     assert got == {"a.js": True, "b.js": False}
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_chunk_maps_of_files_equal_the_whole(spark, size):
+    texts = [(f"r/{k}.{lang}", t) for lang, ts in (VALID | {"x": ["("]}).items() for k, t in enumerate(ts)] + [(f"r/i{k}.{lang}", t) for lang, ts in INVALID.items() for k, t in enumerate(ts)] + [("r/n.js", None)]
+    frame = spark.createDataFrame(texts, "path string, content string")
+    got = {r.path: r.balanced for r in syntax.chunk_spans(syntax.chunk_rows(frame, size)).collect()}
+    assert got == {p: lexing.file_span(t, p.rsplit(".", 1)[1]).balanced for p, t in texts if t is not None and not p.endswith(".x")}
