@@ -100,3 +100,45 @@ def is_safe_filename(name: Column) -> Column:
 def clamp(value: int, low: int, high: int) -> int:
     """Limits are clamped when the plan is built."""
     return max(low, min(value, high))
+
+
+#: Extensions and names of files that are watched as text.
+TEXT_EXTENSIONS = (
+    "ts", "tsx", "js", "jsx", "py", "rs", "go", "java", "cpp", "cc", "cxx", "c", "h", "hpp", "cs", "php", "rb", "swift", "kt", "scala", "clj", "hs", "ml", "fs", "elm", "dart", "r", "jl", "lua", "pl",
+    "sh", "ps1", "sql", "html", "css", "scss", "sass", "less", "json", "xml", "yaml", "yml", "toml", "ini", "cfg", "conf", "md", "rst", "tex", "txt", "log",
+)
+TEXT_NAMES = (".gitignore", ".dockerignore", ".editorconfig", ".env", ".eslintrc", ".prettierrc", ".babelrc", ".npmrc", ".gitattributes", ".mailmap")
+
+
+def is_text_file(path: Column) -> Column:
+    """By extension, or by name for files that are all extension; whatever the case."""
+    name = F.lower(F.regexp_extract(path, r"[^/\\]*$", 0))
+    return F.regexp_extract(name, r"[^.]\.([^.]+)$", 1).isin(*TEXT_EXTENSIONS) | name.isin(*TEXT_NAMES)
+
+
+def is_within(path: Column, roots: list[str] | None) -> Column:
+    """Whether a resolved path is one of the roots or lies below one; without roots every path is, with none no path."""
+    if roots is None:
+        return F.lit(True)
+    inside = F.lit(False)
+    for root in roots:
+        base = root.rstrip("/")
+        inside = inside | (path == base) | path.startswith(base + "/")
+    return inside
+
+
+def safe_join(root: str, relative: Column) -> Column:
+    """The path below the root, with '.' and '..' resolved; null where it is empty, holds NUL or would lead out of the root."""
+    base = root.rstrip("/")
+    absolute = F.when(relative.startswith("/"), relative).otherwise(F.concat(F.lit(base + "/"), relative))
+    step = lambda kept, part: F.when(part.isin("", "."), kept).when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, part))
+    full = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(absolute, "/"), F.array().cast("array<string>"), step), "/"))
+    return F.when((relative != "") & ~relative.contains("\x00") & is_within(full, [base]), full)
+
+
+def uri_to_relative(uri: Column, root: str) -> Column:
+    """The path below the root of a file URI; the absolute path outside of it; anything else as it is."""
+    path = F.substring(uri, 8, 1 << 30)
+    base = root.rstrip("/") + "/"
+    below = F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
+    return F.when(uri.startswith("file://"), below).otherwise(uri)

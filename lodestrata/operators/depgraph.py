@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,22 +52,23 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.sum("e.out").alias("n_imports"), F.sum("e.into").alias("n_imported_by")).withColumn("coupling", F.col("n_imports") + F.col("n_imported_by"))
 
 
-def closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(source, target, distance) of all pairs that a path joins; a node on a cycle reaches itself.
 
-    Semi-naive: each round extends only the pairs that the last one found, until none is new or, if given, ``max_rounds``
-    is reached. Results are written between rounds.
+    Distances double from round to round: a pair further apart than ``width`` has, on its shortest path, a node at exactly that
+    distance from its source, so only the pairs at that distance are extended, by all that are known. There are as many rounds
+    as the logarithm of the longest distance.
     """
-    step = durable(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
-    reached = step.withColumn("distance", F.lit(1))
-    frontier = reached
-    for distance in count(2) if max_rounds is None else range(2, max_rounds + 1):
-        grown = frontier.select("source", F.col("target").alias("mid")).join(step.select(F.col("source").alias("mid"), "target"), "mid").select("source", "target").distinct()
-        frontier = durable(grown.join(reached, ["source", "target"], "left_anti").withColumn("distance", F.lit(distance)))
-        if not frontier.limit(1).count():
-            break
-        reached = durable(reached.unionByName(frontier))
-    return reached
+    reached = durable(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct().withColumn("distance", F.lit(1)))
+    width = 1
+    while True:
+        rim = reached.where(F.col("distance") == width).select("source", F.col("target").alias("mid"))
+        if not rim.limit(1).count():
+            return reached
+        beyond = reached.select(F.col("source").alias("mid"), "target", (F.col("distance") + width).alias("distance"))
+        grown = rim.join(beyond, "mid").groupBy("source", "target").agg(F.min("distance").alias("distance"))
+        reached = durable(reached.unionByName(grown.join(reached.select("source", "target"), ["source", "target"], "left_anti")))
+        width *= 2
 
 
 def depths(reached: DataFrame) -> DataFrame:
@@ -77,37 +76,51 @@ def depths(reached: DataFrame) -> DataFrame:
     return reached.groupBy(F.col("source").alias("node")).agg(F.max("distance").alias("depth"))
 
 
-def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
-    """(cycle, length, severity) of the simple cycles of at most ``longest`` nodes; each once, from its least node.
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, length, severity): for every edge on a cycle the shortest cycle through it, each cycle once, from its least node.
 
-    Paths begin at their least node and never go below it, so no cycle is found twice. severity is error if the closed
-    list has at most three entries, else warning.
+    Of several shortest ones, the one whose nodes come first in order. So each edge of a strongly connected component is in
+    one of the reported cycles, of whatever length, and there are no more of them than edges; listing all simple cycles
+    would take exponential time. severity is error if the closed list has at most three entries, else warning.
     """
-    pairs = durable(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
-    paths = pairs.where("source <= target").select(F.array("source").alias("path"), "target")
-    found = None
-    for length in range(1, longest + 1):
-        closed = paths.where(F.col("target") == F.col("path")[0]).select("path")
-        found = closed if found is None else found.unionByName(closed)
-        if length < longest:
-            open_paths = paths.where((F.col("target") > F.col("path")[0]) & ~F.array_contains("path", F.col("target")))
-            paths = open_paths.join(pairs.withColumnRenamed("target", "next"), F.col("target") == F.col("source")).select(F.array_append("path", F.col("target")).alias("path"), F.col("next").alias("target"))
-    return found.select(
+    some = inner_edges(edges)
+    reached = closure(some)
+    back = reached.select(F.col("source").alias("target"), F.col("target").alias("source"))
+    # Edges on a cycle, and the pairs of one component.
+    inner = durable(some.join(back, ["source", "target"], "left_semi"))
+    reached = durable(reached.join(back, ["source", "target"], "left_semi"))
+    onward = reached.select(F.col("source").alias("next"), "target", (F.col("distance") + 1).alias("distance"))
+    via = inner.withColumnRenamed("target", "next").join(onward, "next").join(reached, ["source", "target", "distance"]).select("source", "target", "next")
+    direct = inner.select("source", "target", F.col("target").alias("next"))
+    # The next node of the shortest path between two nodes.
+    step = durable(via.unionByName(direct).groupBy("source", "target").agg(F.min(F.struct(F.col("next") != F.col("target"), "next")).alias("n")).select("source", "target", "n.next"))
+    walks = inner.select(F.col("source").alias("start"), F.array("source").alias("path"), F.col("target").alias("at"))
+    found = walks.where("at = start").select("path")
+    while True:
+        walks = walks.where("at <> start").join(step.select(F.col("source").alias("at"), F.col("target").alias("start"), "next"), ["at", "start"])
+        walks = durable(walks.select("start", F.array_append("path", F.col("at")).alias("path"), F.col("next").alias("at")))
+        if not walks.limit(1).count():
+            break
+        found = found.unionByName(walks.where("at = start").select("path"))
+    least = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", least, F.size("path")), F.slice("path", F.lit(1), least - 1))
+    return found.select(turned.alias("path")).distinct().select(
         F.array_join(F.array_append("path", F.col("path")[0]), " -> ").alias("cycle"), F.size("path").alias("length"), F.when(F.size("path") <= 2, "error").otherwise("warning").alias("severity")
     )
 
 
 def inner_edges(edges: DataFrame) -> DataFrame:
-    """(source, target), distinct: edges on a cycle or on a path between cycles.
+    """(source, target), distinct: a part of the edges that holds every edge on a cycle.
 
-    Edges from nodes that nothing reaches, and to nodes that reach nothing, are dropped until none is left.
+    Edges from nodes that nothing reaches, and to nodes that reach nothing, are dropped as long as a round drops a tenth of them;
+    what is left beside cycles is settled by the closure.
     """
     kept = durable(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
     size = kept.count()
     while size:
         entered, left = kept.select(F.col("target").alias("source")).distinct(), kept.select(F.col("source").alias("target")).distinct()
         kept = durable(kept.join(entered, "source", "left_semi").join(left, "target", "left_semi").select("source", "target"))
-        if (now := kept.count()) == size:
+        if (now := kept.count()) > 0.9 * size:
             break
         size = now
     return kept
@@ -157,3 +170,15 @@ def mermaid_edges(edges: DataFrame, k: int = 20) -> DataFrame:
         edges.join(top.withColumnRenamed("node", "source"), "source", "left_semi").join(top.withColumnRenamed("node", "target"), "target", "left_semi")
         .select(F.concat(F.lit("    "), name("source"), F.lit(" --> "), name("target")).alias("line"))
     )
+
+
+def to_json(edges: DataFrame) -> DataFrame:
+    """(document): the graph (source, target, edge_type) as one JSON document per source node, so that no document grows with the graph."""
+    targets = F.array_sort(F.collect_list(F.struct("target", "edge_type")))
+    return edges.groupBy("source").agg(targets.alias("edges")).select(F.to_json(F.struct("source", "edges")).alias("document"))
+
+
+def from_json(documents: DataFrame) -> DataFrame:
+    """(source, target, edge_type) of documents (document) as ``to_json`` writes them; unreadable ones and nulls have no edges."""
+    parsed = F.from_json("document", "source string, edges array<struct<target: string, edge_type: string>>")
+    return documents.select(parsed.alias("g")).where("g.source IS NOT NULL").select("g.source", F.explode("g.edges").alias("e")).select("source", "e.target", "e.edge_type").where("target IS NOT NULL")

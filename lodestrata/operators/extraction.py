@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 from collections.abc import Iterator
 
@@ -74,8 +75,8 @@ GOD_METHODS, GOD_LINES, LONG_METHOD, VERY_LONG_METHOD = 20, 500, 50, 100
 def class_patterns(symbols: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(symbol_id, pattern, confidence) of classes by the evidence in their name, decorators and methods.
 
-    symbols: (symbol_id, path, name, kind, parent, start_line, end_line, decorators). Methods are counted per class before they
-    are joined to it.
+    symbols: (symbol_id, path, name, kind, parent, start_line, end_line, decorators). Methods are counted per name of their
+    owner before they are joined to it; of classes that share a name in a file, each gets the counts of the name.
     """
     lower = F.lower("name")
     word = lambda words: lower.rlike("|".join(words))
@@ -115,6 +116,13 @@ def class_patterns(symbols: DataFrame, min_confidence: float = MIN_CONFIDENCE) -
     return joined.select("symbol_id", F.inline(F.filter(entries, lambda e: e["confidence"] >= min_confidence)))
 
 
+def decorator_patterns(symbols: DataFrame) -> DataFrame:
+    """(symbol_id, pattern, confidence) of symbols by a decorator that says it outright: property and dataclass."""
+    plain = F.regexp_replace(F.col("d"), r"^@", "")
+    kind = F.when(plain == "property", "property_pattern").when(plain.isin("dataclass", "dataclasses.dataclass"), "dataclass")
+    return symbols.select("symbol_id", F.explode("decorators").alias("d")).select("symbol_id", kind.alias("pattern"), F.lit(1.0).alias("confidence")).where("pattern IS NOT NULL").distinct()
+
+
 def function_patterns(symbols: DataFrame) -> DataFrame:
     """(symbol_id, pattern, confidence): async functions and long ones."""
     length = F.col("end_line") - F.col("start_line") + 1
@@ -125,24 +133,41 @@ def function_patterns(symbols: DataFrame) -> DataFrame:
     return symbols.where(F.col("kind").isin("function", "method", "constructor")).select("symbol_id", F.inline(F.array_compact(entries)))
 
 
-#: Import lines of each language: kind, pattern, group of the module.
+_FROM = r"\s+from\s*['\"]([^'\"]+)['\"]"
+_SCRIPT_IMPORTS = (
+    ("import", r"(?m)^\s*import\s+(?:\{[^}]*\}|[\w$]+(?:\s*,\s*(?:\{[^}]*\}|\*\s+as\s+[\w$]+))?|\*\s+as\s+[\w$]+)" + _FROM, None),
+    ("type_only", r"(?m)^\s*import\s+type\s+(?:\{[^}]*\}|[\w$]+|\*\s+as\s+[\w$]+)" + _FROM, None),
+    ("import", r"(?m)^\s*import\s*['\"]([^'\"]+)['\"]", None),
+    ("require", r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)", None),
+    ("dynamic", r"\bimport\(\s*['\"]([^'\"]+)['\"]\s*\)", None),
+)
+#: Import lines of each language: kind, pattern of the module or of a list of modules, pattern of the modules in such a list.
 IMPORT_RULES = (
-    ("python", "from_import", r"(?m)^from\s+([\w.]+)\s+import\s", 1),
-    ("python", "import", r"(?m)^import\s+([\w.]+)", 1),
-    ("typescript", "import", r"import\s+(?:\{[^}]*\}|\w+|\*\s+as\s+\w+)\s+from\s+['\"]([^'\"]+)['\"]", 1),
-    ("javascript", "import", r"import\s+(?:\{[^}]*\}|\w+|\*\s+as\s+\w+)\s+from\s+['\"]([^'\"]+)['\"]", 1),
-    ("go", "import", r"(?m)^import\s+(?:\w+\s+)?\"([^\"]+)\"", 1),
-    ("java", "import", r"(?m)^import\s+(?:static\s+)?([\w.]+)\s*;", 1),
+    ("python", "from_import", r"(?m)^from\s+([\w.]+)\s+import\s+[^*\s]", None),
+    ("python", "star_import", r"(?m)^from\s+([\w.]+)\s+import\s*\*", None),
+    ("python", "import", r"(?m)^import\s+([^\n\r#;]+)", r"(?:^|,)\s*([\w.]+)"),
+    *((language, *rule) for language in ("typescript", "javascript") for rule in _SCRIPT_IMPORTS),
+    ("go", "import", r"(?m)^import\s+(?:[\w.]+\s+)?\"([^\"]+)\"", None),
+    ("go", "import", r"(?m)^import\s*\(([^)]*)\)", r"\"([^\"]+)\""),
+    ("java", "import", r"(?m)^import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;", None),
+    ("rust", "import", r"(?m)^\s*(?:pub\s+)?use\s+((?:\w+::)*\w+)", None),
 )
 
 
+def is_standard(language: Column, module: Column, is_relative: Column) -> Column:
+    """Whether a Python module belongs to the standard library, by its first part; false for other languages."""
+    return (language == "python") & ~is_relative & F.regexp_extract(module, r"^[^.]*", 0).isin(*sorted(sys.stdlib_module_names))
+
+
 def imports(files: DataFrame) -> DataFrame:
-    """(path, language, kind, module, is_relative, relative_level) of every import line by expression; files: (path, language, content).
+    """(path, language, kind, module, is_relative, relative_level, is_stdlib) of every import line by expression; files: (path, language, content).
 
     Python modules lose their leading dots, which become the level; './' and '../' of scripts become levels too.
     """
-    def entry(lang: str, kind: str, pattern: str, group: int) -> Column:
-        found = F.when(F.col("language") == lang, F.regexp_extract_all("content", F.lit(rules.java(pattern)), group)).otherwise(F.array().cast("array<string>"))
+    def entry(lang: str, kind: str, pattern: str, inner: str | None) -> Column:
+        found = F.when(F.col("language") == lang, F.regexp_extract_all("content", F.lit(rules.java(pattern)), 1)).otherwise(F.array().cast("array<string>"))
+        if inner:
+            found = F.flatten(F.transform(found, lambda group: F.regexp_extract_all(group, F.lit(rules.java(inner)), 1)))
         return F.transform(found, lambda m: F.struct(F.lit(kind).alias("rule_kind"), m.alias("raw")))
 
     entries = [entry(*rule) for rule in IMPORT_RULES]
@@ -153,7 +178,7 @@ def imports(files: DataFrame) -> DataFrame:
     module = F.when(script, F.translate(F.regexp_replace(raw, r"^(?:\.{1,2}/)+", ""), "/", ".")).otherwise(F.regexp_replace(raw, r"^\.+", ""))
     return files.select("path", "language", F.inline(F.concat(*entries))).select(
         "path", "language", F.when(level > 0, "relative").otherwise(F.col("rule_kind")).alias("kind"), module.alias("module"), (level > 0).alias("is_relative"), level.cast("int").alias("relative_level")
-    )
+    ).withColumn("is_stdlib", is_standard(F.col("language"), F.col("module"), F.col("is_relative")))
 
 
 def resolve_to_files(found: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.security import escape_like
@@ -77,6 +77,46 @@ def json_map(column: str) -> Column:
     return F.coalesce(F.from_json(column, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every table without its rows, with its columns."""
+    return {name: frame.limit(0) for name, frame in tables.items()}
+
+
+def drop_collection(spark: SparkSession, folder: str, name: str) -> bool:
+    """Delete a written table with all its versions; whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.exists(path) and system.delete(path, True))
+
+
+def compact(spark: SparkSession, source: str, target: str, rows_per_file: int = 1_000_000) -> None:
+    """Rewrite a table into few files of bounded size; the old files stay until the caller drops them."""
+    spark.read.parquet(source).write.option("maxRecordsPerFile", rows_per_file).mode("errorifexists").parquet(target)
+
+
+def backup(spark: SparkSession, source: str, target: str) -> int:
+    """Copy a table before it is migrated; the number of rows. A backup is written once."""
+    frame = spark.read.parquet(source)
+    frame.write.mode("errorifexists").parquet(target)
+    return spark.read.parquet(target).count()
+
+
+def rollback(applied: DataFrame, defined: DataFrame, target: int = 0) -> DataFrame:
+    """(version, statement, place): the reversals, latest first, that lead from the applied migrations down to a version.
+
+    applied: (version). defined: (version, down). Applied versions without a definition or a reversal come out with a null
+    statement, for the caller to stop at.
+    """
+    due = applied.where(F.col("version") > target).select("version").distinct().join(defined.select("version", F.col("down").alias("statement")), "version", "left")
+    return due.withColumn("place", F.row_number().over(Window.orderBy(F.col("version").desc())))
+
+
+def pattern_to_detected(patterns: DataFrame) -> DataFrame:
+    """(id, pattern_type, name, confidence, frequency, file_path, snippet): a stored pattern as it was detected, with its first path and example."""
+    first = lambda column: F.try_element_at(json_strings(column), F.lit(1))
+    return patterns.select("id", "pattern_type", "name", "confidence", "frequency", first("file_paths").alias("file_path"), first("examples").alias("snippet"))
+
+
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n) of each table."""
     parts = [frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, frame in tables.items()]

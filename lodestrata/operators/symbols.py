@@ -137,3 +137,14 @@ def insert_before(content: Column, line: Column, body: Column) -> Column:
 def rename(content: Column, old: str, new: str) -> Column:
     """Every occurrence of the name as a word; by name only."""
     return F.regexp_replace(content, r"(?<![A-Za-z0-9_$])" + re.escape(old) + r"(?![A-Za-z0-9_$])", new.replace("$", r"\$"))
+
+
+def find_unique(found: DataFrame, name: str = "name") -> DataFrame:
+    """The rows whose name no other row has; names that are ambiguous or null give none."""
+    once = found.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(name)
+    return found.join(once, name, "left_semi")
+
+
+def definitions(names: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(name, path, start_line, kind) of every symbol that bears one of the names (name); by name alone, without a language server."""
+    return symbols.join(names.select("name").distinct(), "name", "left_semi").select("name", "path", "start_line", "kind")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,13 +83,12 @@ def _imports(spark: SparkSession, d: str) -> DataFrame:
     return extraction.imports(source(spark, d))
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    typed = _imports(spark, d).withColumns({"is_stdlib": F.lit(False), "line": F.lit(None).cast("int")})
-    return depgraph.edges_of(typed)
+def _edges(spark: SparkSession, d: str, include_stdlib: bool = False) -> DataFrame:
+    return depgraph.edges_of(_imports(spark, d).withColumn("line", F.lit(None).cast("int")), include_stdlib=include_stdlib)
 
 
 def import_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _imports(spark, d).groupBy("language", "kind", "is_relative", "relative_level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("module").alias("n_modules"))
+    return _imports(spark, d).groupBy("language", "kind", "is_relative", "relative_level", "is_stdlib").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("module").alias("n_modules"))
 
 
 def import_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -99,9 +100,10 @@ def degree_coupling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_metrics(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
-    nodes = e.select(F.col("target").alias("node"), "is_external").unionByName(e.select(F.col("source").alias("node"), F.lit(False).alias("is_external")))
-    nodes = nodes.groupBy("node").agg(F.min("is_external").alias("is_external")).withColumn("is_stdlib", F.lit(False))
+    e = _edges(spark, d, include_stdlib=True)
+    inside = F.lit(False)
+    nodes = e.select(F.col("target").alias("node"), "is_external", "is_stdlib").unionByName(e.select(F.col("source").alias("node"), inside.alias("is_external"), inside.alias("is_stdlib")))
+    nodes = nodes.groupBy("node").agg(F.min("is_external").alias("is_external"), F.min("is_stdlib").alias("is_stdlib"))
     return depgraph.metrics(e, nodes)
 
 
@@ -146,6 +148,11 @@ def import_depths(spark: SparkSession, d: str) -> DataFrame:
     return depgraph.depths(depgraph.closure(_edges(spark, d)))
 
 
+def graph_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The import graph written as JSON documents and read again."""
+    return depgraph.from_json(depgraph.to_json(_edges(spark, d).select("source", "target", "edge_type").distinct()))
+
+
 def import_cycles(spark: SparkSession, d: str) -> DataFrame:
     """The modules on import cycles of any length, by strongly connected component."""
     return depgraph.components(_edges(spark, d))
@@ -172,6 +179,10 @@ def function_patterns(spark: SparkSession, d: str) -> DataFrame:
     return extraction.function_patterns(symbols(spark, d))
 
 
+def decorator_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.decorator_patterns(symbols(spark, d))
+
+
 def python_symbols(spark: SparkSession, d: str) -> DataFrame:
     return extraction.python_symbols(source(spark, d)).select("path", "name", "kind", "start_line", "end_line", "parent", "qualified_name", "visibility", "is_async", "error")
 
@@ -340,7 +351,7 @@ def insights_page(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     mine = (
         loc_metrics, cyclomatic, cognitive, halstead, maintainability, file_complexity, complexity_hotspots, refactorings, import_lines, import_edges, degree_coupling, graph_metrics,
-        most_coupled, graph_closure, graph_depths, graph_cycles, import_closure, import_depths, import_cycles, concept_extraction, pattern_detection, naming_patterns, class_patterns, function_patterns, python_symbols, python_imports, merge_symbols,
+        most_coupled, graph_closure, graph_depths, graph_cycles, import_closure, import_depths, import_cycles, concept_extraction, pattern_detection, naming_patterns, class_patterns, function_patterns, decorator_patterns, graph_documents, python_symbols, python_imports, merge_symbols,
         merge_patterns, best_imports, merge_frameworks, find_symbol, find_symbol_path, symbols_overview, enclosing_symbols, symbol_references, symbol_bodies, sibling_style, sibling_prefixes,
         sibling_return_types, symbol_edits, symbol_visibility, recommendations, predicted_files, suggested_patterns, routed_problems, routed_files, developer_profile, recent_focus, feature_map,
         concept_pairs, pattern_prefixes, concept_types, concept_density, insights_page,
@@ -424,19 +435,21 @@ _BODIES = f"""{FILES}, {SYMBOLS}, fb AS (SELECT symbol_id, s.path, name, array_t
 
 _MODULE = r"regexp_replace(translate(regexp_replace({0}, '([^/\\])\.[^./\\]*$', '\1'), '/\', '..'), '\.__init__$', '')"
 _IMPORTS = """raw AS (
-  SELECT path, language, kind, unnest(CASE WHEN files.language = lang THEN regexp_extract_all(content, pattern, 1) ELSE [] END) AS raw FROM files, {rules}),
-imp AS (SELECT path, language, CASE WHEN level > 0 THEN 'relative' ELSE kind END AS kind, level > 0 AS is_relative, level::INT AS relative_level,
+  SELECT path, language, kind, unnest(CASE WHEN files.language <> lang THEN [] WHEN inside IS NULL THEN regexp_extract_all(content, pattern, 1)
+    ELSE flatten(list_transform(regexp_extract_all(content, pattern, 1), lambda g: regexp_extract_all(g, inside, 1))) END) AS raw FROM files, {rules}),
+imp AS (SELECT *, language = 'python' AND NOT is_relative AND regexp_extract(module, '^[^.]*') IN ({standard}) AS is_stdlib FROM (SELECT path, language, CASE WHEN level > 0 THEN 'relative' ELSE kind END AS kind, level > 0 AS is_relative, level::INT AS relative_level,
     CASE WHEN script THEN translate(regexp_replace(raw, '^(?:\\.{{1,2}}/)+', ''), '/', '.') ELSE regexp_replace(raw, '^\\.+', '') END AS module FROM (
   SELECT *, language IN ('typescript', 'javascript') AND starts_with(raw, '.') AS script,
     CASE WHEN language = 'python' AND length(regexp_extract(raw, '^(\\.*)', 1)) > 0 THEN length(regexp_extract(raw, '^(\\.*)', 1))
-         WHEN language IN ('typescript', 'javascript') AND starts_with(raw, '.') THEN 1 + len(regexp_extract_all(raw, '\\.\\./')) ELSE 0 END AS level FROM raw)),
-edges AS (SELECT source, CASE WHEN NOT is_relative THEN module WHEN relative_level > len(parts) THEN coalesce(nullif(module, ''), source)
+         WHEN language IN ('typescript', 'javascript') AND starts_with(raw, '.') THEN 1 + len(regexp_extract_all(raw, '\\.\\./')) ELSE 0 END AS level FROM raw))),
+every AS (SELECT source, CASE WHEN NOT is_relative THEN module WHEN relative_level > len(parts) THEN coalesce(nullif(module, ''), source)
       ELSE array_to_string(CASE WHEN coalesce(module, '') <> '' THEN list_append(parts[1:greatest(len(parts) - relative_level, 0)], module) ELSE parts[1:greatest(len(parts) - relative_level, 0)] END, '.') END AS target,
-    CASE WHEN kind IN ('from_import', 'relative', 'star_import', 'type_only', 'dynamic') THEN kind ELSE 'direct' END AS edge_type, NOT is_relative AS is_external
+    CASE WHEN kind IN ('from_import', 'relative', 'star_import', 'type_only', 'dynamic') THEN kind ELSE 'direct' END AS edge_type, NOT is_relative AS is_external, is_stdlib
   FROM (SELECT *, {module} AS source, string_split({module}, '.') AS parts FROM imp)),
+edges AS (SELECT * FROM every WHERE NOT is_stdlib),
 pairs AS (SELECT DISTINCT source, target FROM edges),
 deg AS (SELECT node, sum(o)::BIGINT AS n_imports, sum(i)::BIGINT AS n_imported_by, (sum(o) + sum(i))::BIGINT AS coupling FROM (SELECT source AS node, 1 AS o, 0 AS i FROM pairs UNION ALL SELECT target, 0, 1 FROM pairs) GROUP BY node)""".format(
-    rules=rule_values([(lang, kind, p) for lang, kind, p, _ in extraction.IMPORT_RULES], "lang, kind, pattern"), module=_MODULE.format("path")
+    rules=rule_values(list(extraction.IMPORT_RULES), "lang, kind, pattern, inside"), standard=", ".join(map(quoted, sorted(sys.stdlib_module_names))), module=_MODULE.format("path")
 )
 _NATIONS = """ng AS (SELECT lpad(source::VARCHAR, 2, '0') AS source, lpad(target::VARCHAR, 2, '0') AS target FROM (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC, target) AS r FROM (
@@ -548,26 +561,32 @@ def oracle_sql() -> dict[str, str]:
             SELECT path, sha256(array_to_string(list_concat(l[1:a - 1], ['// new'], l[b + 1:]), chr(10))) AS replaced, sha256(array_to_string(list_concat(l[1:a - 1], ['// new'], l[a:]), chr(10))) AS before,
                    sha256(array_to_string(list_concat(l[1:b], ['// new'], l[b + 1:]), chr(10))) AS after,
                    sha256(regexp_replace(regexp_replace(content, '(^|[^{_WORDCHARS}])total([^{_WORDCHARS}]|$)', '\\1sum\\2', 'g'), '(^|[^{_WORDCHARS}])total([^{_WORDCHARS}]|$)', '\\1sum\\2', 'g')) AS renamed FROM x""",
-        "import_lines": f"WITH {FILES}, {_IMPORTS} SELECT language, kind, is_relative, relative_level, count(*) AS n, count(DISTINCT module) AS n_modules FROM imp GROUP BY ALL",
+        "import_lines": f"WITH {FILES}, {_IMPORTS} SELECT language, kind, is_relative, relative_level, is_stdlib, count(*) AS n, count(DISTINCT module) AS n_modules FROM imp GROUP BY ALL",
         "import_edges": f"WITH {FILES}, {_IMPORTS} SELECT source, target, edge_type, is_external FROM edges",
         "degree_coupling": f"WITH {FILES}, {_IMPORTS} SELECT * FROM deg",
-        "graph_metrics": f"""WITH {FILES}, {_IMPORTS}, nodes AS (SELECT node, bool_and(is_external) AS ext FROM (SELECT target AS node, is_external FROM edges UNION ALL SELECT source, false FROM edges) GROUP BY node),
-            t AS (SELECT count(*) FILTER (WHERE NOT ext) AS m, count(*) FILTER (WHERE ext) AS e, coalesce(sum(n_imports) FILTER (WHERE NOT ext), 0) AS o, coalesce(sum(n_imported_by) FILTER (WHERE NOT ext), 0) AS i FROM nodes LEFT JOIN deg USING (node))
-            SELECT m AS total_modules, (SELECT count(*) FROM edges) AS total_edges, e AS external_dependencies, 0::BIGINT AS stdlib_dependencies, round(o / m, 6)::DOUBLE AS avg_imports, round(i / m, 6)::DOUBLE AS avg_imported_by, round(o / (o + i), 6)::DOUBLE AS instability FROM t""",
+        "graph_metrics": f"""WITH {FILES}, {_IMPORTS}, nodes AS (SELECT node, bool_and(is_external) AS ext, bool_and(std) AS std FROM (SELECT target AS node, is_external, is_stdlib AS std FROM every UNION ALL SELECT source, false, false FROM every) GROUP BY node),
+            allp AS (SELECT DISTINCT source, target FROM every), alld AS (SELECT node, sum(o) AS n_imports, sum(i) AS n_imported_by FROM (SELECT source AS node, 1 AS o, 0 AS i FROM allp UNION ALL SELECT target, 0, 1 FROM allp) GROUP BY node),
+            t AS (SELECT count(*) FILTER (WHERE NOT ext) AS m, count(*) FILTER (WHERE ext) AS e, count(*) FILTER (WHERE std) AS sd, coalesce(sum(n_imports) FILTER (WHERE NOT ext), 0) AS o, coalesce(sum(n_imported_by) FILTER (WHERE NOT ext), 0) AS i FROM nodes LEFT JOIN alld USING (node))
+            SELECT m AS total_modules, (SELECT count(*) FROM every) AS total_edges, e AS external_dependencies, sd AS stdlib_dependencies, round(o / m, 6)::DOUBLE AS avg_imports, round(i / m, 6)::DOUBLE AS avg_imported_by, round(o / (o + i), 6)::DOUBLE AS instability FROM t""",
         "most_coupled": f"WITH {FILES}, {_IMPORTS} SELECT * FROM deg ORDER BY coupling DESC, node LIMIT 20",
         "graph_mermaid": f"""WITH {FILES}, {_IMPORTS}, top AS (SELECT node FROM deg ORDER BY coupling DESC, node LIMIT 20)
             SELECT '    ' || replace(source, '.', '_') || ' --> ' || replace(target, '.', '_') AS line, count(*) AS n FROM edges WHERE source IN (FROM top) AND target IN (FROM top) GROUP BY 1""",
         "graph_closure": f"{_CLOSURE} SELECT source, target, distance FROM best",
         "graph_depths": f"{_CLOSURE} SELECT source AS node, max(distance)::INT AS depth FROM best GROUP BY 1",
-        "graph_cycles": f"""WITH RECURSIVE {_NATIONS}, w AS (SELECT [source] AS path, target FROM ng WHERE source <= target UNION ALL
-            SELECT list_append(w.path, w.target), ng.target FROM w JOIN ng ON ng.source = w.target WHERE len(w.path) < 5 AND w.target > w.path[1] AND NOT list_contains(w.path, w.target))
-            SELECT array_to_string(list_append(path, path[1]), ' -> ') AS cycle, len(path)::INT AS length, CASE WHEN len(path) <= 2 THEN 'error' ELSE 'warning' END AS severity FROM w WHERE target = path[1]""",
+        "graph_cycles": f"""{_CLOSURE}, st AS (SELECT b.source, b.target, min(g.target) AS nxt FROM best b JOIN ng g ON g.source = b.source LEFT JOIN best r ON r.source = g.target AND r.target = b.target
+              WHERE (g.target = b.target AND b.distance = 1) OR (b.distance > 1 AND r.distance = b.distance - 1) GROUP BY 1, 2),
+            walk AS (SELECT source AS u, [source] AS path, target AS here FROM ng UNION ALL SELECT u, list_append(path, here), nxt FROM walk JOIN st ON st.source = here AND st.target = u WHERE here <> u),
+            c AS (SELECT DISTINCT list_concat(path[list_position(path, list_min(path)):], path[:list_position(path, list_min(path)) - 1]) AS path FROM walk WHERE here = u)
+            SELECT array_to_string(list_append(path, path[1]), ' -> ') AS cycle, len(path)::INT AS length, CASE WHEN len(path) <= 2 THEN 'error' ELSE 'warning' END AS severity FROM c""",
         "concept_extraction": f"WITH {FILES} {_concepts_sql()}",
         "pattern_detection": f"WITH {FILES}, {_detect_sql(0.5)} SELECT * FROM det",
         "naming_patterns": f"WITH {SYMBOLS}, {_segmented_sql()} SELECT path, pattern_type, frequency, confidence FROM nam",
         "class_patterns": _class_sql(),
         "function_patterns": f"""WITH {SYMBOLS}, f AS (SELECT symbol_id, is_async, end_line - start_line + 1 AS n FROM syms WHERE kind IN ('function', 'method', 'constructor'))
             SELECT symbol_id, 'async_pattern' AS pattern, 0.9::DOUBLE AS confidence FROM f WHERE is_async UNION ALL SELECT symbol_id, 'long_method', CASE WHEN n >= 100 THEN 0.9 ELSE 0.7 END FROM f WHERE n > 50""",
+        "decorator_patterns": f"""WITH {SYMBOLS}, x AS (SELECT symbol_id, regexp_replace(unnest(decorators), '^@', '') AS d FROM syms)
+            SELECT DISTINCT symbol_id, CASE WHEN d = 'property' THEN 'property_pattern' ELSE 'dataclass' END AS pattern, 1.0::DOUBLE AS confidence FROM x WHERE d IN ('property', 'dataclass', 'dataclasses.dataclass')""",
+        "graph_documents": f"WITH {FILES}, {_IMPORTS} SELECT DISTINCT source, target, edge_type FROM edges",
         "merge_symbols": f"""WITH {SYMBOLS}, a AS (SELECT path, name, kind, start_line FROM syms WHERE backend = 'tree_sitter'), b AS (SELECT path, name, kind, start_line, row_number() OVER (PARTITION BY path, name ORDER BY start_line) AS rn FROM syms s
             WHERE backend <> 'tree_sitter' AND kind = 'constant' AND NOT EXISTS (SELECT 1 FROM a WHERE a.path = s.path AND a.name = s.name)) SELECT DISTINCT path, name, kind, start_line FROM (SELECT * FROM a UNION ALL SELECT path, name, kind, start_line FROM b WHERE rn = 1)""",
         "merge_patterns": f"""WITH {FILES}, {SYMBOLS}, {_detect_sql(0.5)}, {_segmented_sql()}, u AS (SELECT path, pattern_type, confidence, frequency AS n_evidence, 10 AS priority FROM det UNION ALL SELECT path, pattern_type, confidence, frequency, 50 FROM nam)

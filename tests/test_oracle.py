@@ -2,10 +2,10 @@
 
 import pytest
 
-from lodestrata.plans import analysis, paths, problems, search, services, store, stream
+from lodestrata.plans import analysis, paths, problems, projects, search, services, store, stream
 from tests.compare import same
 
-MODULES = [search, store, paths, analysis, services, stream, problems]
+MODULES = [search, store, paths, analysis, services, stream, problems, projects]
 SQL = {name: sql for m in MODULES for name, sql in m.oracle_sql().items()}
 QUERIES = {name: query for m in MODULES for name, query in m.queries().items()}
 
