@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 THRESHOLD = 0.5
 
@@ -45,7 +49,7 @@ def cosine_to(query: list[float], column: str = "embedding") -> Column:
 
 def search(vectors: DataFrame, query: list[float], key: str = "id", limit: int = 10, threshold: float | None = THRESHOLD, filters: dict[str, object] | None = None, column: str = "embedding") -> DataFrame:
     """(key, score): the most similar vectors of the filtered ones, ties by key. Filters are equalities on other columns; null
-    filters are ignored. They reach the scan before anything is scored."""
+    filters are ignored. Repeated rows count once: keys and scores are compared, after filtering, so that no vector is moved."""
     kept = vectors
     for name, value in (filters or {}).items():
         if value is not None:
@@ -53,18 +57,45 @@ def search(vectors: DataFrame, query: list[float], key: str = "id", limit: int =
     scored = usable(kept, len(query), column).select(key, F.round(cosine_to(query, column), 5).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
-    return scored.orderBy(F.col("score").desc(), key).limit(limit)
+    return scored.distinct().orderBy(F.col("score").desc(), key).limit(limit)
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, column: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank) for a small table of queries (query_id, query), checked to be small before it is sent out.
 
-    Queries above the bound have to be split by the caller into several calls.
+    Each batch of vectors is compared with all queries by one product of matrices, and hands on each query's k best of
+    the batch. Queries above the bound have to be split by the caller into several calls. Zero vectors have no score.
     """
     bound = 10_000
-    if queries.limit(bound + 1).count() > bound:
+    asked = queries.select("query_id", "query").limit(bound + 1).toPandas()
+    if len(asked) > bound:
         raise ValueError(f"more than {bound} queries; search them in blocks")
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "id", F.round(cosine(F.col(column), F.col("query")), 5).alias("score")).where("score IS NOT NULL")
+    schema = StructType([queries.schema["query_id"], vectors.schema["id"], StructField("score", DoubleType())])
+    if not len(asked):
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+
+    def unit(rows) -> np.ndarray:  # noqa: ANN001
+        m = np.stack(rows).astype(np.float64)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
+
+    ids, turned = asked["query_id"].to_numpy(), unit(asked["query"]).T
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            names, units = batch["id"].to_numpy(), unit(batch["e"])
+            order = np.argsort(names, kind="stable")
+            for at in range(0, turned.shape[1], 256):
+                block = np.round(units[order] @ turned[:, at : at + 256], 5)
+                # Ties go to the lesser id, since the rows stand in its order.
+                top = np.argsort(-np.nan_to_num(block, nan=-np.inf), axis=0, kind="stable")[:k]
+                column = np.repeat(np.arange(block.shape[1])[None], len(top), axis=0)
+                found = pd.DataFrame({"query_id": ids[at + column.ravel()], "id": names[order][top.ravel()], "score": block[top.ravel(), column.ravel()]})
+                yield found[found["score"].notna()]
+
+    scored = vectors.select("id", F.col(column).alias("e")).mapInPandas(score, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -285,11 +285,11 @@ def symbol_visibility(spark: SparkSession, d: str) -> DataFrame:
 
 # intelligence
 def _patterns(spark: SparkSession, d: str) -> DataFrame:
-    return distinct(spark, d, "developer_patterns")
+    return distinct(spark, d, "developer_patterns", "pattern_type", "frequency", "created_at")
 
 
 def _problems(spark: SparkSession, d: str) -> DataFrame:
-    return distinct(spark, d, "project_decisions").select(F.col("id").alias("problem_id"), F.col("decision").alias("description")).distinct()
+    return distinct(spark, d, "project_decisions", "decision").select(F.col("id").alias("problem_id"), F.col("decision").alias("description"))
 
 
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +298,7 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
 
 def predicted_files(spark: SparkSession, d: str) -> DataFrame:
     dirs = source(spark, d).select(F.split("path", "/")[1].alias("directory")).distinct()
-    return intelligence.predict_files(PROBLEM, distinct(spark, d, "semantic_concepts"), dirs)
+    return intelligence.predict_files(PROBLEM, distinct(spark, d, "semantic_concepts", "name", "file_path"), dirs)
 
 
 def suggested_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -322,11 +322,11 @@ def recent_focus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_map(spark: SparkSession, d: str) -> DataFrame:
-    return intelligence.feature_map(distinct(spark, d, "semantic_concepts"))
+    return intelligence.feature_map(table(spark, d, "semantic_concepts"))
 
 
 def concept_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return intelligence.concept_pairs(distinct(spark, d, "semantic_concepts"))
+    return intelligence.concept_pairs(distinct(spark, d, "semantic_concepts", "file_path"))
 
 
 def pattern_prefixes(spark: SparkSession, d: str) -> DataFrame:
@@ -334,7 +334,7 @@ def pattern_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def concept_types(spark: SparkSession, d: str) -> DataFrame:
-    return distinct(spark, d, "semantic_concepts").groupBy("concept_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return distinct(spark, d, "semantic_concepts", "concept_type", "confidence").groupBy("concept_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
 def concept_density(spark: SparkSession, d: str) -> DataFrame:
@@ -343,7 +343,7 @@ def concept_density(spark: SparkSession, d: str) -> DataFrame:
 
 def insights_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of concepts of a type whose name holds a word, each with the number of all that fit."""
-    hit = distinct(spark, d, "semantic_concepts").where((F.lower("concept_type") == "method") & F.lower("name").contains("cache")).select("id", "name")
+    hit = distinct(spark, d, "semantic_concepts", "concept_type", "name").where((F.lower("concept_type") == "method") & F.lower("name").contains("cache")).select("id", "name")
     total = hit.agg(F.count(F.lit(1)).alias("total"))
     return hit.orderBy("name", "id").limit(10).crossJoin(total)
 

@@ -29,8 +29,9 @@ def symbols(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "symbols").withColumnRenamed("file_path", "path").dropDuplicates(["symbol_id"])
 
 
-def distinct(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return table(spark, directory, name).distinct()
+def distinct(spark: SparkSession, directory: str, name: str, *columns: str) -> DataFrame:
+    """The id and the columns of a table's different rows; only these are read and compared. Rows that share an id are equal."""
+    return table(spark, directory, name).select("id", *columns).distinct()
 
 
 

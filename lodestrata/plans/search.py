@@ -67,7 +67,7 @@ def pattern_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "vectors").select("id", "name", "concept_type", "language", "embedding").dropDuplicates(["id"])
+    return table(spark, d, "vectors").select("id", "name", "concept_type", "language", "embedding")
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def vector_text_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_dimension_check(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("dim IS NOT NULL AND dim >= 0")
+    return _vectors(spark, d).select("id", F.size("embedding").alias("dim")).distinct().groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("dim IS NOT NULL AND dim >= 0")
 
 
 def vector_index_texts(spark: SparkSession, d: str) -> DataFrame:

@@ -37,7 +37,7 @@ def project_blueprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def system_status(spark: SparkSession, d: str) -> DataFrame:
-    tables = {n: distinct(spark, d, n) for n in ("semantic_concepts", "developer_patterns")}
+    tables = {"semantic_concepts": distinct(spark, d, "semantic_concepts", "concept_type", "confidence"), "developer_patterns": distinct(spark, d, "developer_patterns", "pattern_type", "confidence")}
     return services.system_status(tables, {"semantic_concepts": "concept_type", "developer_patterns": "pattern_type"})
 
 

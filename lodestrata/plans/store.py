@@ -21,22 +21,22 @@ def _sessions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The concepts of the file with the least path, by its path."""
-    c = distinct(spark, d, "semantic_concepts")
-    least = c.agg(F.min("file_path").alias("file_path"))
+    c = distinct(spark, d, "semantic_concepts", "name", "concept_type", "file_path")
+    least = table(spark, d, "semantic_concepts").agg(F.min("file_path").alias("file_path"))
     return c.join(F.broadcast(least), "file_path").select("id", "name", "concept_type", "file_path")
 
 
 def concepts_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return distinct(spark, d, "semantic_concepts").where("concept_type = 'class'").select("id", "name", "file_path")
+    return distinct(spark, d, "semantic_concepts", "concept_type", "name", "file_path").where("concept_type = 'class'").select("id", "name", "file_path")
 
 
 def like_search(spark: SparkSession, d: str) -> DataFrame:
-    return store.like_search(distinct(spark, d, "semantic_concepts"), "cache", ["name", "description"], ["name", "id"], 100).select("id", "name")
+    return store.like_search(distinct(spark, d, "semantic_concepts", "name", "description"), "cache", ["name", "description"], ["name", "id"], 100).select("id", "name")
 
 
 def like_search_escaped(spark: SparkSession, d: str) -> DataFrame:
     """An underscore is searched as itself."""
-    return store.like_search(distinct(spark, d, "developer_patterns"), "y_i", ["pattern_type", "file_paths"]).select("id", "pattern_type")
+    return store.like_search(distinct(spark, d, "developer_patterns", "pattern_type", "file_paths"), "y_i", ["pattern_type", "file_paths"]).select("id", "pattern_type")
 
 
 def feature_search(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def latest_active_session(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return distinct(spark, d, "developer_patterns").select("id", "pattern_type", "frequency").orderBy(F.col("frequency").desc(), "id").limit(10)
+    return distinct(spark, d, "developer_patterns", "pattern_type", "frequency").orderBy(F.col("frequency").desc(), "id").limit(10)
 
 
 def recent_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -69,11 +69,11 @@ def session_decision_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return distinct(spark, d, "project_decisions").select("id", "created_at").distinct().orderBy(F.col("created_at").desc(), "id").limit(20)
+    return distinct(spark, d, "project_decisions", "created_at").orderBy(F.col("created_at").desc(), "id").limit(20)
 
 
 def decisions_by_session(spark: SparkSession, d: str) -> DataFrame:
-    return distinct(spark, d, "project_decisions").where("session_id <> ''").select(F.lower(F.trim("session_id")).alias("session_id"), "id", "created_at").distinct()
+    return distinct(spark, d, "project_decisions", "session_id", "created_at").where("session_id <> ''").select(F.lower(F.trim("session_id")).alias("session_id"), "id", "created_at").distinct()
 
 
 def store_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def store_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def upsert_concepts(spark: SparkSession, d: str) -> DataFrame:
     """Rows updated before a day are the table, later ones the changes: the newest row of an id stays."""
-    rows = distinct(spark, d, "semantic_concepts").select("id", "name", "updated_at")
+    rows = distinct(spark, d, "semantic_concepts", "name", "updated_at")
     old, new = rows.where(F.col("updated_at") < CUT), rows.where(F.col("updated_at") >= CUT).withColumn("seq", F.struct("updated_at", "name"))
     return store.upsert(old, new)
 
@@ -96,7 +96,7 @@ def upsert_unique_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def update_flags(spark: SparkSession, d: str) -> DataFrame:
-    a = distinct(spark, d, "architectural_decisions")
+    a = distinct(spark, d, "architectural_decisions", "status", "title")
     return store.set_where(a, F.lower("status") == "accepted", status=F.lit("acknowledged")).select("id", F.lower("status").alias("status"), "title").distinct()
 
 
@@ -109,18 +109,18 @@ def end_session(spark: SparkSession, d: str) -> DataFrame:
 
 def delete_by_file(spark: SparkSession, d: str) -> DataFrame:
     """Concepts without those of files whose last event is an unlink."""
-    c = distinct(spark, d, "semantic_concepts")
+    c = distinct(spark, d, "semantic_concepts", "file_path")
     last = table(spark, d, "file_changes").where("event_type IN ('add', 'change', 'unlink')").groupBy(F.col("path").alias("file_path")).agg(F.max_by("event_type", F.struct("ts", "change_id")).alias("last"))
     return store.delete_keys(c, last.where("last = 'unlink'"), "file_path").select("id", "file_path")
 
 
 def delete_by_id(spark: SparkSession, d: str) -> DataFrame:
-    p = distinct(spark, d, "developer_patterns")
+    p = distinct(spark, d, "developer_patterns", "confidence", "name")
     return store.delete_keys(p, p.where("confidence IS NULL")).select("id", "name")
 
 
 def json_defaults(spark: SparkSession, d: str) -> DataFrame:
-    p = distinct(spark, d, "developer_patterns")
+    p = distinct(spark, d, "developer_patterns", "file_paths")
     return p.select("id", F.size(store.json_strings("file_paths")).alias("n_paths"), F.array_join(F.array_sort(F.array_distinct(F.transform(store.json_strings("file_paths"), lambda x: F.trim(x)))), "|").alias("paths"))
 
 
@@ -153,7 +153,7 @@ def memory_list(spark: SparkSession, d: str) -> DataFrame:
 
 def thought_chains(spark: SparkSession, d: str) -> DataFrame:
     """Decisions of a session as its thoughts: the branch is the month, a rationale revises the thought before."""
-    p = distinct(spark, d, "project_decisions").where("session_id <> ''")
+    p = distinct(spark, d, "project_decisions", "session_id", "created_at", "context", "rationale").where("session_id <> ''")
     number = F.dayofmonth("created_at")
     return sessions.chain_summary(p.select(
         F.lower(F.trim("session_id")).alias("chain_id"), number.alias("thought_number"), F.lit(5).alias("total_thoughts"),

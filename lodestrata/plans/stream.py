@@ -76,7 +76,7 @@ def debounce_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_stream(spark: SparkSession, d: str) -> DataFrame:
-    e = _stream(spark, d, "file_changes").select("change_id", "path", "event_type", "ts", "hash").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "3650 days").dropDuplicates(["change_id", "ts"])
+    e = _stream(spark, d, "file_changes").select("change_id", "path", "event_type", "ts", "hash").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days").dropDuplicates(["change_id", "ts"])
     return _run(spark, changes.changed_stream(e), "changes").select("path", "change_id", "event_type")
 
 

@@ -166,16 +166,18 @@ def changed_stream(events: DataFrame, key: str = "path") -> DataFrame:
     def step(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         known = state.get[0] if state.exists else None
         for frame in frames:
-            kept = []
-            for row in frame.sort_values(["ts", "change_id"]).itertuples():
-                has_hash = isinstance(row.hash, str)
-                if not (row.event_type == "change" and has_hash and row.hash == known):
-                    kept.append((group[0], row.change_id, row.event_type, row.ts, row.hash if has_hash else None))
-                if row.event_type == "unlink":
-                    known = None
-                elif has_hash:
-                    known = row.hash
-            yield pd.DataFrame(kept, columns=[key, "change_id", "event_type", "ts", "hash"])
+            rows = frame.sort_values(["ts", "change_id"], kind="stable")
+            hashes = rows["hash"].to_numpy(object)
+            gone = rows["event_type"].to_numpy(object) == "unlink"
+            sets = gone | rows["hash"].notna().to_numpy()
+            values = np.where(gone, None, hashes)
+            setter = np.maximum.accumulate(np.where(sets, np.arange(len(rows)), -1))
+            before = np.r_[-1, setter[:-1]][: len(rows)]
+            last = np.where(before >= 0, values[np.maximum(before, 0)], known)
+            same = (rows["event_type"].to_numpy(object) == "change") & rows["hash"].notna().to_numpy() & (hashes == last)
+            if len(rows) and setter[-1] >= 0:
+                known = values[setter[-1]]
+            yield rows.loc[~same, ["change_id", "event_type", "ts", "hash"]].assign(**{key: group[0]})[[key, "change_id", "event_type", "ts", "hash"]]
         if known is None:
             if state.exists:
                 state.remove()
