@@ -5,6 +5,8 @@ Order-dependent scans are folds over the array of lines inside one row, so nothi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +105,22 @@ def lines_of_code(text: Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: F.struct(F.size(lines).alias("total"), acc["code"].alias("code"), acc["comments"].alias("comments"), acc["blank"].alias("blank"), acc["logical"].alias("logical")))
 
 
-def cyclomatic(text: Column, language: str = "python") -> Column:
+def by_language(language: str | Column, measure: Callable[[str], Column]) -> Column:
+    """A measure that depends on the language, for a fixed one or for that of each row; languages without words of their own have Python's."""
+    if isinstance(language, str):
+        return measure(language)
+    cases = F.when(F.lit(False), measure("python"))
+    for name in ("python", *DECISIONS, "javascript"):
+        cases = cases.when(language == name, measure(name))
+    return cases.otherwise(measure("other"))
+
+
+def cyclomatic(text: Column, language: str | Column = "python") -> Column:
     """1 + decision words and signs in the raw text; for Python less half of the lines with a conditional expression; at least 1."""
+    return by_language(language, lambda name: _cyclomatic(text, name))
+
+
+def _cyclomatic(text: Column, language: str) -> Column:
     keys = decision_set(language)
     words = [k for k in keys if k not in LITERALS]
     total = F.lit(1) + word_count(text, *words)
@@ -154,9 +170,10 @@ def operator_counts(clean: Column) -> Column:
     return F.aggregate(operators, start, step, lambda acc: F.struct(acc["n1"].alias("n1"), acc["t1"].alias("t1")))
 
 
-def operands(clean: Column, language: str = "python") -> Column:
+def operands(clean: Column, language: str | Column = "python") -> Column:
     """The identifiers, without keywords, and numbers of a cleaned text."""
-    names = F.filter(F.regexp_extract_all(clean, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), 0), lambda w: ~w.isin(*decision_set(language), *NO_OPERANDS))
+    found = F.regexp_extract_all(clean, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), 0)
+    names = by_language(language, lambda name: F.filter(found, lambda w: ~w.isin(*decision_set(name), *NO_OPERANDS)))
     return F.concat(names, F.regexp_extract_all(clean, F.lit(r"\b\d+\.?\d*\b"), 0))
 
 
@@ -176,12 +193,14 @@ def maintainability(volume: Column, complexity: Column, code_lines: Column) -> C
     return F.when((volume <= 0) | (code_lines <= 0), 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
 
 
-def analyse(texts: DataFrame, language: str = "python") -> DataFrame:
-    """All metrics of each text: texts (…, content) keep their other columns."""
+def analyse(texts: DataFrame, language: str | Column = "python") -> DataFrame:
+    """All metrics of each text: texts (…, content) keep their other columns. language: that of all texts, or a column of them."""
     keep = [c for c in texts.columns if c != "content"]
     content = F.col("content")
     # What several results use is a column first, so that it is computed once.
-    clean = texts.select(*keep, "content", cleaned(content).alias("_clean"))
+    language = language if isinstance(language, str) else language.alias("_language")
+    clean = texts.select(*keep, "content", cleaned(content).alias("_clean"), *([] if isinstance(language, str) else [language]))
+    language = language if isinstance(language, str) else F.col("_language")
     listed = clean.select(
         *keep, lines_of_code(content).alias("loc"), cyclomatic(content, language).alias("cyclomatic"), cognitive(content).alias("cognitive"),
         operator_counts(F.col("_clean")).alias("_ops"), operands(F.col("_clean"), language).alias("_operands"),

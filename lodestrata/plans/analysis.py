@@ -7,17 +7,24 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.languages import detect_language
 from lodestrata.operators import depgraph, extraction, intelligence, metrics, rules
 from lodestrata.operators import symbols as nav
 from lodestrata.plans.common import FILES, SYMBOLS, Query, count_matches, distinct, quoted, rule_values, source, symbols
 from lodestrata.sources.tables import path_repository, table
 
+#: Languages that are measured.
+PROGRAMS = ("python", "typescript", "javascript", "go", "java")
 PROBLEM = "create a shared cache service with an api endpoint and a test"
 
 
 # metrics
 def _measured(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.analyse(source(spark, d).where("language = 'python'").select("path", "content"))
+    return metrics.analyse(_programs(spark, d), F.col("language"))
+
+
+def _programs(spark: SparkSession, d: str) -> DataFrame:
+    return source(spark, d).where(F.col("language").isin(*PROGRAMS)).select("path", "language", "content")
 
 
 def loc_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -25,16 +32,12 @@ def loc_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cyclomatic(spark: SparkSession, d: str) -> DataFrame:
-    s = source(spark, d)
-    parts = [s.where(F.col("language") == lang).select("path", metrics.cyclomatic(F.col("content"), lang).alias("cyclomatic")) for lang in ("python", "typescript", "javascript", "go")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = _programs(spark, d).select("path", metrics.cyclomatic(F.col("content"), F.col("language")).alias("cyclomatic"))
     return out.withColumn("level", metrics.level(F.col("cyclomatic"), metrics.CYCLOMATIC_LEVELS))
 
 
 def cognitive(spark: SparkSession, d: str) -> DataFrame:
-    v = source(spark, d).where("language = 'python'").select("path", metrics.cognitive(F.col("content")).alias("cognitive"))
+    v = _programs(spark, d).select("path", metrics.cognitive(F.col("content")).alias("cognitive"))
     return v.withColumn("level", metrics.level(F.col("cognitive"), metrics.COGNITIVE_LEVELS))
 
 
@@ -47,15 +50,15 @@ def maintainability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_complexity(spark: SparkSession, d: str) -> DataFrame:
-    """Per Python file: totals over its functions, cut out by their lines."""
+    """Per file: totals over its functions, cut out by their lines."""
     f = _functions(spark, d)
     return f.groupBy("path").agg(F.count(F.lit(1)).alias("n_functions"), F.sum("cyclomatic").alias("cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"), F.sum("cognitive").alias("cognitive"))
 
 
 def _functions(spark: SparkSession, d: str) -> DataFrame:
-    s = symbols(spark, d).where("kind IN ('function', 'method', 'constructor') AND language = 'python'").select("symbol_id", "path", "name", "start_line", "end_line")
-    texts = metrics.symbol_texts(s, source(spark, d).where("language = 'python'"))
-    return texts.select("symbol_id", "path", "name", metrics.cyclomatic(F.col("content")).alias("cyclomatic"), metrics.cognitive(F.col("content")).alias("cognitive"))
+    s = symbols(spark, d).where("kind IN ('function', 'method', 'constructor')").select("symbol_id", "path", "name", "start_line", "end_line")
+    texts = metrics.symbol_texts(s, _programs(spark, d)).withColumn("language", detect_language(F.col("path")))
+    return texts.select("symbol_id", "path", "name", metrics.cyclomatic(F.col("content"), F.col("language")).alias("cyclomatic"), metrics.cognitive(F.col("content")).alias("cognitive"))
 
 
 def complexity_hotspots(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +73,7 @@ def refactorings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def health(spark: SparkSession, d: str) -> DataFrame:
-    """Per repository, over its Python files."""
+    """Per repository, over its program files."""
     s = source(spark, d)
     m = _measured(spark, d).groupBy(path_repository(F.col("path")).alias("repo")).agg(F.avg("cyclomatic").alias("cyc"), F.avg("maintainability").alias("mi"))
     shape = s.groupBy(path_repository(F.col("path")).alias("repo")).agg(F.count_distinct("language").alias("n_languages"), F.count(F.lit(1)).alias("n_files"))
@@ -215,8 +218,12 @@ def best_imports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_frameworks(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("React", "typescript", 1, 50), ("React", "javascript", 2, 10), ("Flask", "python", 3, 10)]
-    return extraction.merge_frameworks(spark.createDataFrame(rows, "framework string, language string, n int, priority int"))
+    """Frameworks of scripts by two backends, of which typed sources go first."""
+    from lodestrata.operators import files
+
+    found = files.frameworks(source(spark, d)).withColumnRenamed("n_files", "n")
+    scripts = found.withColumn("priority", F.when(F.col("language") == "typescript", 50).when(F.col("language") == "python", 20).otherwise(10))
+    return extraction.merge_frameworks(scripts)
 
 
 # symbols
@@ -363,7 +370,7 @@ def queries() -> dict[str, Query]:
 # The same in SQL
 
 _TRIM = r"regexp_replace(regexp_replace({0}, '^[\s\v\x{{85}}\p{{Z}}]+', ''), '[\s\v\x{{85}}\p{{Z}}]+$', '')"
-_PY = "py AS (SELECT path, content FROM files WHERE language = 'python')"
+_PY = f"py AS (SELECT path, content, language FROM files WHERE language IN ({', '.join(map(quoted, PROGRAMS))}))"
 _LOC_STATE = "{'code': 0, 'comments': 0, 'blank': 0, 'logical': 0, 's': false, 'b': false, 't': ''}"
 
 
@@ -401,6 +408,10 @@ def _level_sql(value: str, bounds: tuple[int, int, int]) -> str:
     return f"CASE WHEN {value} <= {bounds[0]} THEN 'low' WHEN {value} <= {bounds[1]} THEN 'moderate' WHEN {value} <= {bounds[2]} THEN 'high' ELSE 'very_high' END"
 
 
+def _cyclomatic_all(column: str) -> str:
+    return f"CASE language {' '.join(f'WHEN {quoted(lang)} THEN {_cyclomatic_sql(column, lang)}' for lang in PROGRAMS)} END"
+
+
 def _cognitive_sql(column: str) -> str:
     t = "x.t"
     deeper = " OR ".join(f"contains({t}, '{w}:') OR contains({t}, '{w} ')" for w in metrics.NESTING)
@@ -420,18 +431,20 @@ def _halstead_sql() -> str:
     for i, op in enumerate(ops):
         steps.append(f"h{i + 1} AS (SELECT * EXCLUDE (rest), {_literal('rest', op)} AS k{i}, replace(rest, {quoted(op)}, '{' ' * len(op)}') AS rest FROM {previous})")
         previous = f"h{i + 1}"
-    stop = ", ".join(quoted(w) for w in (*metrics.decision_set("python"), *metrics.NO_OPERANDS))
+    listed = lambda lang: "[" + ", ".join(quoted(w) for w in (*metrics.decision_set(lang), *metrics.NO_OPERANDS)) + "]"
+    stop = f"CASE language {' '.join(f'WHEN {quoted(lang)} THEN {listed(lang)}' for lang in PROGRAMS)} END"
     n1 = " + ".join(f"(k{i} > 0)::INT" for i in range(len(ops)))
     t1 = " + ".join(f"k{i}" for i in range(len(ops)))
-    operands = f"list_concat(list_filter(regexp_extract_all(clean, '\\b[a-zA-Z_][a-zA-Z0-9_]*\\b'), lambda w: w NOT IN ({stop})), regexp_extract_all(clean, '\\b\\d+\\.?\\d*\\b'))"
-    return f"""c AS (SELECT path, content, {clean} AS clean FROM py), c0 AS (SELECT path, content, clean, clean AS rest FROM c), {', '.join(steps)},
-        hs AS (SELECT path, content, ({n1})::INT AS n1, len(list_distinct({operands}))::INT AS n2, ({t1})::INT AS t1, len({operands})::INT AS t2 FROM {previous}),
+    operands = f"list_concat(list_filter(regexp_extract_all(clean, '\\b[a-zA-Z_][a-zA-Z0-9_]*\\b'), lambda w: NOT list_contains({stop}, w)), regexp_extract_all(clean, '\\b\\d+\\.?\\d*\\b'))"
+    return f"""c AS (SELECT path, content, language, {clean} AS clean FROM py), c0 AS (SELECT path, content, language, clean, clean AS rest FROM c), {', '.join(steps)},
+        hs AS (SELECT path, content, language, ({n1})::INT AS n1, len(list_distinct({operands}))::INT AS n2, ({t1})::INT AS t1, len({operands})::INT AS t2 FROM {previous}),
         hv AS (SELECT *, CASE WHEN n1 + n2 > 0 THEN (t1 + t2) * log2((n1 + n2)::DOUBLE) ELSE 0 END AS volume, CASE WHEN n2 > 0 THEN n1 / 2.0 * t2 / n2 ELSE 0 END AS difficulty FROM hs)"""
 
 
 _MI = """CASE WHEN volume <= 0 OR code <= 0 THEN 100.0 ELSE greatest(0.0, least(100.0, (171 - 5.2 * ln(volume) - 0.23 * cyc - 16.2 * ln(code::DOUBLE)) * 100 / 171)) END"""
-_BODIES = f"""{FILES}, {SYMBOLS}, fb AS (SELECT symbol_id, s.path, name, array_to_string(string_split(content, chr(10))[greatest(start_line, 1):end_line], chr(10)) AS body FROM syms s JOIN files f ON f.path = s.path
-    WHERE kind IN ('function', 'method', 'constructor') AND s.language = 'python' AND f.language = 'python')"""
+_ONLY_PYTHON = " AND s.language = 'python' AND f.language = 'python'"
+_BODIES = f"""{FILES}, {SYMBOLS}, fb AS (SELECT symbol_id, s.path, name, f.language AS language, array_to_string(string_split(content, chr(10))[greatest(start_line, 1):end_line], chr(10)) AS body FROM syms s JOIN files f ON f.path = s.path
+    WHERE kind IN ('function', 'method', 'constructor') AND f.language IN ({', '.join(map(quoted, PROGRAMS))}){_ONLY_PYTHON})"""
 
 _MODULE = r"regexp_replace(translate(regexp_replace({0}, '([^/\\])\.[^./\\]*$', '\1'), '/\', '..'), '\.__init__$', '')"
 _IMPORTS = """raw AS (
@@ -532,20 +545,20 @@ def oracle_sql() -> dict[str, str]:
     prefixes = " UNION ALL ".join(f"SELECT path, kind, {quoted(p)} AS prefix FROM syms WHERE starts_with(name, {quoted(p)}) AND length(name) > {len(p)}" for p in PREFIXES)
     size_word = r"'(^|[^A-Za-z0-9_$])size([^A-Za-z0-9_$]|$)'"
     c = "SELECT DISTINCT * FROM semantic_concepts"
-    cyc = " UNION ALL ".join(f"SELECT path, {_cyclomatic_sql('content', lang)} AS cyclomatic FROM files WHERE language = '{lang}'" for lang in ("python", "typescript", "javascript", "go"))
-    measured = f"""{FILES}, {_PY}, {_halstead_sql()}, lo AS ({_loc_sql('py')}), mi AS (SELECT hv.path, hv.volume, hv.difficulty, r.code AS code, {_cyclomatic_sql('hv.content', 'python')} AS cyc FROM hv JOIN lo ON lo.path = hv.path)"""
-    functions = f"""{_BODIES}, fx AS (SELECT symbol_id, path, name, {_cyclomatic_sql('body', 'python')} AS cyclomatic, {_cognitive_sql('body')} AS cognitive FROM fb)"""
+    cyc = f"SELECT path, {_cyclomatic_all('content')} AS cyclomatic FROM py"
+    measured = f"""{FILES}, {_PY}, {_halstead_sql()}, lo AS ({_loc_sql('py')}), mi AS (SELECT hv.path, hv.volume, hv.difficulty, r.code AS code, {_cyclomatic_all('hv.content')} AS cyc FROM hv JOIN lo ON lo.path = hv.path)"""
+    functions = f"""{_BODIES.replace(_ONLY_PYTHON, '')}, fx AS (SELECT symbol_id, path, name, {_cyclomatic_all('body')} AS cyclomatic, {_cognitive_sql('body')} AS cognitive FROM fb)"""
     rank = lambda l: f"CASE {l} WHEN 'low' THEN 0 WHEN 'moderate' THEN 1 WHEN 'very_high' THEN 3 ELSE 2 END"
     return {
         "loc_metrics": f"WITH {FILES}, x AS ({_loc_sql('files')}) SELECT path, total::INT AS total, r.code AS code, r.comments AS comments, r.blank AS blank, r.logical AS logical FROM x",
-        "cyclomatic": f"WITH {FILES}, x AS ({cyc}) SELECT *, {_level_sql('cyclomatic', metrics.CYCLOMATIC_LEVELS)} AS level FROM x",
+        "cyclomatic": f"WITH {FILES}, {_PY}, x AS ({cyc}) SELECT *, {_level_sql('cyclomatic', metrics.CYCLOMATIC_LEVELS)} AS level FROM x",
         "cognitive": f"WITH {FILES}, {_PY}, x AS (SELECT path, {_cognitive_sql('content')} AS cognitive FROM py) SELECT *, {_level_sql('cognitive', metrics.COGNITIVE_LEVELS)} AS level FROM x",
         "halstead": f"WITH {FILES}, {_PY}, {_halstead_sql()} SELECT path, n1 AS halstead_n1, n2 AS halstead_n2, t1 AS halstead_t1, t2 AS halstead_t2, round(round(volume, 4), 2) AS volume, round(round(difficulty, 4), 2)::DOUBLE AS difficulty FROM hv",
         "maintainability": f"WITH {measured} SELECT path, round(round({_MI}, 4), 2) AS maintainability FROM mi",
         "file_complexity": f"WITH {functions} SELECT path, count(*) AS n_functions, sum(cyclomatic)::BIGINT AS cyclomatic, max(cyclomatic) AS max_cyclomatic, sum(cognitive)::BIGINT AS cognitive FROM fx GROUP BY path",
         "complexity_hotspots": f"""WITH {functions}, l AS (SELECT symbol_id, {_level_sql('cyclomatic', metrics.CYCLOMATIC_LEVELS)} AS cyclomatic_level, {_level_sql('cognitive', metrics.COGNITIVE_LEVELS)} AS cognitive_level FROM fx)
             SELECT * FROM l WHERE {rank('cyclomatic_level')} >= 1 OR {rank('cognitive_level')} >= 1""",
-        "refactorings": f"""WITH {_BODIES}, py AS (SELECT symbol_id::VARCHAR AS path, body AS content FROM fb), {_halstead_sql()}, lo AS ({_loc_sql('py')}),
+        "refactorings": f"""WITH {_BODIES}, py AS (SELECT symbol_id::VARCHAR AS path, body AS content, language FROM fb), {_halstead_sql()}, lo AS ({_loc_sql('py')}),
             mi0 AS (SELECT hv.path, hv.volume, r.code AS code, {_cyclomatic_sql('hv.content', 'python')} AS cyc, {_cognitive_sql('hv.content')} AS cog FROM hv JOIN lo ON lo.path = hv.path),
             mi AS (SELECT m.path AS symbol_id, fb.name, cyc, cog, round({_MI}, 4) AS mi FROM mi0 m JOIN fb ON fb.symbol_id::VARCHAR = m.path)
             SELECT symbol_id::BIGINT AS symbol_id, CASE WHEN cyc > 20 OR cog > 25 THEN 'extract_method' ELSE 'reduce_complexity' END AS suggestion,
@@ -593,7 +606,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT path, pattern_type, confidence, n_evidence, priority FROM (SELECT *, row_number() OVER (PARTITION BY path, pattern_type ORDER BY confidence DESC, n_evidence DESC, priority DESC) AS rn FROM u) WHERE rn = 1""",
         "best_imports": f"""WITH {FILES}, {_IMPORTS}, u AS (SELECT i.path, module, 10 AS priority FROM imp i UNION ALL SELECT i.path, module, 50 FROM imp i JOIN files f ON f.path = i.path WHERE contains(f.content, 'class '))
             SELECT path, priority, count(*) AS n FROM u WHERE (path, priority) IN (SELECT (path, max(priority)) FROM u GROUP BY path) GROUP BY 1, 2""",
-        "merge_frameworks": "SELECT * FROM (VALUES ('React', 'typescript', 1, 50), ('Flask', 'python', 3, 10)) AS v(framework, language, n, priority)",
+        "merge_frameworks": f"""WITH {FILES}, u AS (SELECT framework, v.language, count(DISTINCT path) AS n, CASE v.language WHEN 'typescript' THEN 50 WHEN 'python' THEN 20 ELSE 10 END AS priority
+              FROM files f, {rule_values(list(rules.FRAMEWORK_RULES), 'language, framework, pattern')} WHERE v.language = f.language AND regexp_matches(content, pattern) GROUP BY 1, 2)
+            SELECT framework, arg_max(language, priority) AS language, arg_max(n, priority) AS n, max(priority) AS priority FROM u GROUP BY 1""",
         "find_symbol": f"WITH {SYMBOLS} SELECT symbol_id, path, name FROM syms WHERE kind IN ('method', 'function') AND contains(lower(CASE WHEN qualified_name <> '' THEN string_split(qualified_name, '.')[-1] ELSE name END), 'cache')",
         "find_symbol_path": f"""WITH {SYMBOLS}, p AS (SELECT symbol_id, CASE WHEN qualified_name <> '' THEN string_split(qualified_name, '.') ELSE list_filter([nullif(trim(parent), ''), name], lambda x: x IS NOT NULL) END AS parts FROM syms)
             SELECT symbol_id, array_to_string(parts, '/') AS name_path FROM p WHERE len(parts) = 2 AND parts[-1] = 'size'""",

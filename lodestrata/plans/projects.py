@@ -65,7 +65,7 @@ def blueprint_memory(spark: SparkSession, d: str) -> DataFrame:
 def codebase_analysis(spark: SparkSession, d: str) -> DataFrame:
     s = source(spark, d)
     repo = path_repository(F.col("path")).alias("repo")
-    measured = metrics.analyse(s.where("language = 'python'").select("path", "content")).select(repo, "cyclomatic", "maintainability")
+    measured = metrics.analyse(s.where(F.col("language").isin(*analysis.PROGRAMS)).select("path", "language", "content"), F.col("language")).select(repo, "cyclomatic", "maintainability")
     imports = extraction.imports(s).where("NOT is_stdlib").select(repo, (~F.col("is_relative")).alias("is_external"))
     return projects.analyse_projects(measured, imports, s.select(repo, "language"))
 
@@ -167,7 +167,7 @@ def oracle_sql() -> dict[str, str]:
         "unique_symbols": f"WITH {SYMBOLS} SELECT symbol_id, name FROM syms WHERE name IN (SELECT name FROM syms GROUP BY name HAVING count(*) = 1)",
         "symbol_definitions": f"WITH {SYMBOLS} SELECT name, path, start_line, kind FROM syms WHERE name IN (SELECT trim(parent, ' ') FROM syms)",
         "codebase_analysis": f"""WITH {FILES}, {analysis._PY}, {analysis._halstead_sql()}, lo AS ({analysis._loc_sql('py')}), {analysis._IMPORTS},
-            m0 AS (SELECT hv.path, hv.volume, r.code AS code, {analysis._cyclomatic_sql('hv.content', 'python')} AS cyc FROM hv JOIN lo ON lo.path = hv.path),
+            m0 AS (SELECT hv.path, hv.volume, r.code AS code, {analysis._cyclomatic_all('hv.content')} AS cyc FROM hv JOIN lo ON lo.path = hv.path),
             cc AS (SELECT string_split(path, '/')[1] AS repo, round(avg(cyc), 4) AS cyclomatic, round(avg(round({analysis._MI}, 4)), 4) AS maintainability FROM m0 GROUP BY 1),
             f AS (SELECT string_split(path, '/')[1] AS repo, count(*) AS n_files, count(DISTINCT language) AS n_languages FROM files GROUP BY 1),
             e AS (SELECT string_split(path, '/')[1] AS repo, count(*) AS n_edges, count(*) FILTER (WHERE NOT is_relative) AS n_external FROM imp WHERE NOT is_stdlib GROUP BY 1)
