@@ -2,8 +2,9 @@
 
 Method: bounded-space online best-fit. A packer keeps a fixed number of open bins in a bitset keyed by free
 space; an item goes to the bin with the least free space that holds it, and when a new bin is needed and all are
-open, the fullest closes. Items are packed in shards; the bins that are still open at the end of a shard, at most
-``open_bins`` of them, are unpacked and packed again together with those of other shards.
+open, the fullest closes. Items are packed in shards of bounded size, whose number depends on the items alone; the bins
+that are still open at the end of a shard, at most ``open_bins`` of them, are unpacked, and the same packer packs them
+again together with those of other shards, with no more bins open.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.session import durable, parallelism
 
-#: Shards whose open bins are packed together in the second round.
+#: Pieces of a shard on average, and shards whose open bins are packed together in the second round.
+SHARD_PIECES = 16_384
 FAN_IN = 64
+#: Items of size 0 that wait for a bin; more of them get one of their own.
+EMPTY_MOST = 65_536
 
 
 class Packer:
@@ -75,24 +79,56 @@ def _pack_runs(capacity: int, open_bins: int):
         packer = Packer(capacity, open_bins)
         # Rows of open bins wait until their bin closes or the shard ends, so at most open_bins bins are held.
         waiting: dict[int, list[tuple[int, int, int]]] = {}
+        # Items of size 0 fit every bin, so they go to one that has closed, and wait only until one has.
+        empty: list[tuple[int, int, int]] = []
+        last_closed = -1
 
-        def flush(numbers: list[int], still_open: bool, at: int | None) -> pa.RecordBatch:
-            rows = [(*row, at, n, still_open) for n in numbers for row in waiting.pop(n)]
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _SCHEMA)] if rows else [pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
+        def flush(numbers: list[int], still_open: bool, at: int | None) -> pa.RecordBatch:
+            return batch_of([(*row, at, n, still_open) for n in numbers for row in waiting.pop(n)])
+
+        def place_empty(at: int | None) -> pa.RecordBatch:
+            # Number -1 is the shard's bin of empty items, used where no bin has closed.
+            rows = [(*row, at, last_closed, False) for row in empty]
+            empty.clear()
+            return batch_of(rows)
+
         for batch in batches:
             for item, piece, size, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if own != shard:
                     if shard is not None:
+                        # Bins that have closed since the last batch are not packed again.
+                        now_open = packer.open_numbers()
+                        closed = [n for n in waiting if n not in now_open]
+                        if closed:
+                            last_closed = closed[-1]
+                            yield flush(closed, False, shard)
+                        if waiting and empty and last_closed < 0:
+                            waiting[next(iter(waiting))].extend(empty)
+                            empty.clear()
                         yield flush(list(waiting), True, shard)
-                    shard, packer = own, Packer(capacity, open_bins)
-                waiting.setdefault(packer.put(size), []).append((item, piece, size))
+                        yield place_empty(shard)
+                    shard, packer, last_closed = own, Packer(capacity, open_bins), -1
+                if size:
+                    waiting.setdefault(packer.put(size), []).append((item, piece, size))
+                else:
+                    empty.append((item, piece, size))
             now_open = packer.open_numbers()
             closed = [n for n in waiting if n not in now_open]
             if closed:
+                last_closed = closed[-1]
                 yield flush(closed, False, shard)
+            if empty and (last_closed >= 0 or len(empty) > EMPTY_MOST):
+                yield place_empty(shard)
+        if waiting and empty and last_closed < 0:
+            waiting[next(iter(waiting))].extend(empty)
+            empty.clear()
         if waiting:
             yield flush(list(waiting), True, shard)
+        if empty:
+            yield place_empty(shard)
 
     return run
 
@@ -119,17 +155,20 @@ def pack(items: DataFrame, capacity: int, open_bins: int = 64, shards: int | Non
     """
     if capacity < 1 or open_bins < 1:
         raise ValueError("capacity and open_bins must be positive")
-    count = shards or parallelism(items.sparkSession)
-    sized = pieces_of(items, capacity)
+    # Sizes cost more than packing, so they are taken once.
+    sized = durable(pieces_of(items, capacity))
+    count = shards or max(1, -(-sized.count() // SHARD_PIECES))
+    tasks = parallelism(items.sparkSession)
     placed = sized.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(count)))
     first = durable(
-        placed.repartition(count, "shard").sortWithinPartitions("shard", "item", "piece")
+        placed.repartition(min(tasks, count), "shard").sortWithinPartitions("shard", "item", "piece")
         .select("item", "piece", "size", "shard").mapInArrow(_pack_runs(capacity, open_bins), _PACKED)
     )
+    merged = -(-count // FAN_IN)
     again = (
         first.where("open").withColumn("shard", F.floor(F.col("shard") / FAN_IN))
-        .repartition(max(1, -(-count // FAN_IN)), "shard").sortWithinPartitions("shard", F.col("size").desc(), "item", "piece")
-        .select("item", "piece", "size", "shard").mapInArrow(_pack_runs(capacity, max(open_bins, FAN_IN * open_bins)), _PACKED)
+        .repartition(min(tasks, merged), "shard").sortWithinPartitions("shard", "item", "piece")
+        .select("item", "piece", "size", "shard").mapInArrow(_pack_runs(capacity, open_bins), _PACKED)
     )
     label = lambda level: F.concat_ws("-", F.lit(level), "shard", "bin").alias("bin_id")
     return first.where("NOT open").select("item", "piece", "size", label("a")).unionByName(again.select("item", "piece", "size", label("b")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import docpairs, functions, neighbours, packing, provenance, splitting, syntax, tokens, truncation
@@ -114,8 +114,7 @@ def _oversized(spark: SparkSession, directory: str, limit: int) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
-    pieces = splitting.split_items(_oversized(spark, directory, PIECE_LIMIT), PIECE_LIMIT, PIECE_OVERLAP, with_text=False)
-    return pieces.where("n_pieces > 1").select(F.col("item").alias("change_id")).distinct()
+    return p5_pieces(spark, directory).where("n_pieces > 1").select("change_id").distinct()
 
 
 def p5_pieces(spark: SparkSession, directory: str) -> DataFrame:
@@ -123,6 +122,19 @@ def p5_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return pieces.select(F.col("item").alias("change_id"), "piece", "start", "finish", "boundary", "n_pieces", "text")
 
 
+def p5_pieces_hold(spark: SparkSession, directory: str) -> DataFrame:
+    """Per oversized change: its length as the pieces cover it, whether they keep the limit and the overlap, and join to the text."""
+    pieces = splitting.split_items(_oversized(spark, directory, PIECE_LIMIT), PIECE_LIMIT, PIECE_OVERLAP)
+    per_item = Window.partitionBy("item").orderBy("piece")
+    before = F.lag("finish").over(per_item)
+    own = F.substring("text", F.when(before.isNull(), F.lit(1)).otherwise(before - F.col("start") + 1), PIECE_LIMIT)
+    checked = pieces.select("item", "piece", "finish", own.alias("own"), (F.length("text") <= PIECE_LIMIT).alias("short"), F.coalesce(before - F.col("start") == PIECE_OVERLAP, F.col("start") == 0).alias("laps"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda p: p["own"]), "")
+    return checked.groupBy(F.col("item").alias("change_id")).agg(
+        F.max("finish").cast("long").alias("n_chars"), F.min("short").alias("within_limit"), F.min("laps").alias("overlaps"), F.sha2(text, 256).alias("text_hash")
+    )
+
+
 def _judged_files(spark: SparkSession, directory: str) -> DataFrame:
     """Every path of a file event or a concept, with its latest content where there is one."""
     files = latest_contents(table(spark, directory, "file_changes")).where("last_event IS NOT NULL").select("path", "content")
@@ -170,6 +182,16 @@ def p9_report(spark: SparkSession, directory: str) -> DataFrame:
     return packing.fill_report(packed, BIN_CAPACITY)
 
 
+def p9_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """Whether every document is placed, no bin is overfull, and only documents above the capacity are split."""
+    packed = durable(p9_bins(spark, directory))
+    bins = packed.groupBy("bin_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > BIN_CAPACITY).alias("n_overfull"))
+    per = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("size"))
+    placed = per.agg(F.count(F.lit(1)).alias("n_placed"), F.count_if((F.col("n") > 1) & (F.col("size") <= BIN_CAPACITY)).alias("n_split_in_vain"))
+    asked = table(spark, directory, "documents").agg(F.count(F.lit(1)).alias("n_documents"))
+    return asked.crossJoin(placed).crossJoin(bins).select("n_documents", "n_placed", "n_overfull", "n_split_in_vain")
+
+
 def _judged_documents(spark: SparkSession, directory: str) -> DataFrame:
     return truncation.truncated(table(spark, directory, "documents").select("doc_id", "source", "text"))
 
@@ -196,6 +218,7 @@ def queries() -> dict[str, Query]:
         "p4_balance": p4_balance,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
+        "p5_pieces_hold": p5_pieces_hold,
         "p6_found": p6_found,
         "p6_kinds": p6_kinds,
         "p7_found": p7_found,
@@ -204,6 +227,7 @@ def queries() -> dict[str, Query]:
         "p8_ids": p8_ids,
         "p9_bins": p9_bins,
         "p9_report": p9_report,
+        "p9_documents": p9_documents,
         "p10_found": p10_found,
         "p10_shares": p10_shares,
         "p10_limits": p10_limits,
@@ -226,6 +250,8 @@ s AS (
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": f"SELECT DISTINCT change_id FROM file_changes WHERE length(content) > {PIECE_LIMIT}",
+        "p5_pieces_hold": f"""SELECT DISTINCT change_id, length(content) AS n_chars, true AS within_limit, true AS overlaps, sha256(content) AS text_hash FROM file_changes WHERE length(content) > {PIECE_LIMIT}""",
+        "p9_documents": "SELECT count(*) AS n_documents, count(DISTINCT doc_id) AS n_placed, 0::BIGINT AS n_overfull, 0::BIGINT AS n_split_in_vain FROM documents",
         "p7_found": f"""WITH {_USABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS place FROM s)
             SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE place <= 10 AND sim >= 0.9""",
     }

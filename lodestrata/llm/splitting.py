@@ -87,11 +87,11 @@ def _nearest(values: np.ndarray, mark: int, low: int, high: int) -> int | None:
     return min(near, key=lambda v: abs(v - mark)) if near else None
 
 
-_PIECE = "item long, piece int, start int, finish int, boundary string, n_pieces int"
+_PIECE = "item long, piece int, start int, finish int, boundary string, n_pieces int, text string"
 
 
-def split_items(items: DataFrame, limit: int = 4000, overlap: int = 200, least: int = 1000, with_text: bool = True) -> DataFrame:
-    """Cut every item into pieces of at most ``limit`` code points: (item, piece, start, finish, boundary, n_pieces[, text]).
+def split_items(items: DataFrame, limit: int = 4000, overlap: int = 200, least: int = 1000) -> DataFrame:
+    """Cut every item into pieces of at most ``limit`` code points: (item, piece, start, finish, boundary, n_pieces, text).
 
     items: (item long, content string, boundary_lines array<int>). Pieces are numbered from 0; ``start`` and ``finish``
     are 0-based offsets in code points, finish exclusive. Each piece but the first begins ``overlap`` characters before the
@@ -110,15 +110,15 @@ def split_items(items: DataFrame, limit: int = 4000, overlap: int = 200, least:
                 at = 0
                 for piece, (end, kind) in enumerate(cuts):
                     begin = max(0, at - overlap) if piece else 0
-                    for column, value in zip(out, (item, piece, begin, end, kind, len(cuts), text[begin:end] if with_text else None)):
+                    for column, value in zip(out, (item, piece, begin, end, kind, len(cuts), text[begin:end])):
                         column.append(value)
                     at = end
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()][: 7 if with_text else 6]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
             names = ["item", "piece", "start", "finish", "boundary", "n_pieces", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names[: len(kinds)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     return (
         items.select("item", "content", F.col("boundary_lines").cast("array<int>").alias("boundary_lines"))
         .where("content IS NOT NULL")
-        .mapInArrow(run, _PIECE + (", text string" if with_text else ""))
+        .mapInArrow(run, _PIECE)
     )

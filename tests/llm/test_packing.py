@@ -57,3 +57,27 @@ def test_empty_and_wrong_arguments(spark):
     assert pack(empty, 10).count() == 0 and fill_report(pack(empty, 10), 10).first().n_bins == 0
     with pytest.raises(ValueError):
         pack(empty, 0)
+
+
+def test_empty_items_wait_for_no_bin_without_end(spark, monkeypatch):
+    from lodestrata.llm import packing
+
+    monkeypatch.setattr(packing, "EMPTY_MOST", 100)
+    only = pack(spark.range(5_000).select("id", "id").toDF("item", "size").withColumn("size", packing.F.lit(0)), 10, shards=2).collect()
+    assert len(only) == 5_000 and len({r.bin_id for r in only}) <= 4
+    mixed = pack(spark.createDataFrame([(i, i % 3 * 4) for i in range(300)], "item long, size int"), 10, open_bins=2, shards=1).collect()
+    used = defaultdict(int)
+    for r in mixed:
+        used[r.bin_id] += r.size
+    assert len(mixed) == 300 and all(0 < u <= 10 for u in used.values())
+
+
+def test_bins_do_not_depend_on_the_session(spark):
+    frame = spark.createDataFrame([(i, 1 + i * 7 % 50) for i in range(2_000)], "item long, size int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    for n in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        results.append({(r.item, r.piece, r.bin_id) for r in pack(frame, 64, shards=5).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1]
