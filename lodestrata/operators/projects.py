@@ -56,7 +56,9 @@ def analyse_projects(measured: DataFrame, edges: DataFrame, files: DataFrame) ->
     measured: (repo, cyclomatic, maintainability). edges: (repo, is_external). files: (repo, language).
     """
     shape = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("language").alias("n_languages"))
-    complexity = measured.groupBy("repo").agg(F.round(F.avg("cyclomatic"), 4).alias("cyclomatic"), F.round(F.avg("maintainability"), 4).alias("maintainability"))
+    # Sums of decimals do not depend on the order of the rows.
+    mean = lambda c: (F.sum(F.col(c).cast("decimal(18,4)")).cast("double") / F.count(c)).alias(c)
+    complexity = measured.groupBy("repo").agg(mean("cyclomatic"), mean("maintainability"))
     depends = edges.groupBy("repo").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("is_external").alias("n_external"))
     return shape.join(complexity, "repo", "left").join(depends, "repo", "left").na.fill(0, ["n_edges", "n_external"])
 

@@ -435,7 +435,7 @@ def _halstead_sql() -> str:
     stop = f"CASE language {' '.join(f'WHEN {quoted(lang)} THEN {listed(lang)}' for lang in PROGRAMS)} END"
     n1 = " + ".join(f"(k{i} > 0)::INT" for i in range(len(ops)))
     t1 = " + ".join(f"k{i}" for i in range(len(ops)))
-    operands = f"list_concat(list_filter(regexp_extract_all(clean, '\\b[a-zA-Z_][a-zA-Z0-9_]*\\b'), lambda w: NOT list_contains({stop}, w)), regexp_extract_all(clean, '\\b\\d+\\.?\\d*\\b'))"
+    operands = f"list_concat(list_filter(list_filter(regexp_extract_all(clean, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*')), lambda w: NOT list_contains({stop}, w)), regexp_extract_all(clean, '\\b\\d+\\.?\\d*\\b'))"
     return f"""c AS (SELECT path, content, language, {clean} AS clean FROM py), c0 AS (SELECT path, content, language, clean, clean AS rest FROM c), {', '.join(steps)},
         hs AS (SELECT path, content, language, ({n1})::INT AS n1, len(list_distinct({operands}))::INT AS n2, ({t1})::INT AS t1, len({operands})::INT AS t2 FROM {previous}),
         hv AS (SELECT *, CASE WHEN n1 + n2 > 0 THEN (t1 + t2) * log2((n1 + n2)::DOUBLE) ELSE 0 END AS volume, CASE WHEN n2 > 0 THEN n1 / 2.0 * t2 / n2 ELSE 0 END AS difficulty FROM hs)"""
@@ -553,8 +553,8 @@ def oracle_sql() -> dict[str, str]:
         "loc_metrics": f"WITH {FILES}, x AS ({_loc_sql('files')}) SELECT path, total::INT AS total, r.code AS code, r.comments AS comments, r.blank AS blank, r.logical AS logical FROM x",
         "cyclomatic": f"WITH {FILES}, {_PY}, x AS ({cyc}) SELECT *, {_level_sql('cyclomatic', metrics.CYCLOMATIC_LEVELS)} AS level FROM x",
         "cognitive": f"WITH {FILES}, {_PY}, x AS (SELECT path, {_cognitive_sql('content')} AS cognitive FROM py) SELECT *, {_level_sql('cognitive', metrics.COGNITIVE_LEVELS)} AS level FROM x",
-        "halstead": f"WITH {FILES}, {_PY}, {_halstead_sql()} SELECT path, n1 AS halstead_n1, n2 AS halstead_n2, t1 AS halstead_t1, t2 AS halstead_t2, round(round(volume, 4), 2) AS volume, round(round(difficulty, 4), 2)::DOUBLE AS difficulty FROM hv",
-        "maintainability": f"WITH {measured} SELECT path, round(round({_MI}, 4), 2) AS maintainability FROM mi",
+        "halstead": f"WITH {FILES}, {_PY}, {_halstead_sql()} SELECT path, n1 AS halstead_n1, n2 AS halstead_n2, t1 AS halstead_t1, t2 AS halstead_t2, round(round(volume, 4)::DECIMAL(18, 4), 2)::DOUBLE AS volume, round(round(difficulty, 4)::DECIMAL(18, 4), 2)::DOUBLE AS difficulty FROM hv",
+        "maintainability": f"WITH {measured} SELECT path, round(round({_MI}, 4)::DECIMAL(18, 4), 2)::DOUBLE AS maintainability FROM mi",
         "file_complexity": f"WITH {functions} SELECT path, count(*) AS n_functions, sum(cyclomatic)::BIGINT AS cyclomatic, max(cyclomatic) AS max_cyclomatic, sum(cognitive)::BIGINT AS cognitive FROM fx GROUP BY path",
         "complexity_hotspots": f"""WITH {functions}, l AS (SELECT symbol_id, {_level_sql('cyclomatic', metrics.CYCLOMATIC_LEVELS)} AS cyclomatic_level, {_level_sql('cognitive', metrics.COGNITIVE_LEVELS)} AS cognitive_level FROM fx)
             SELECT * FROM l WHERE {rank('cyclomatic_level')} >= 1 OR {rank('cognitive_level')} >= 1""",

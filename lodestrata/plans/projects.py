@@ -168,7 +168,7 @@ def oracle_sql() -> dict[str, str]:
         "symbol_definitions": f"WITH {SYMBOLS} SELECT name, path, start_line, kind FROM syms WHERE name IN (SELECT trim(parent, ' ') FROM syms)",
         "codebase_analysis": f"""WITH {FILES}, {analysis._PY}, {analysis._halstead_sql()}, lo AS ({analysis._loc_sql('py')}), {analysis._IMPORTS},
             m0 AS (SELECT hv.path, hv.volume, r.code AS code, {analysis._cyclomatic_all('hv.content')} AS cyc FROM hv JOIN lo ON lo.path = hv.path),
-            cc AS (SELECT string_split(path, '/')[1] AS repo, round(avg(cyc), 4) AS cyclomatic, round(avg(round({analysis._MI}, 4)), 4) AS maintainability FROM m0 GROUP BY 1),
+            cc AS (SELECT string_split(path, '/')[1] AS repo, sum(cyc)::DOUBLE / count(*) AS cyclomatic, sum(round({analysis._MI}, 4)::DECIMAL(18, 4))::DOUBLE / count(*) AS maintainability FROM m0 GROUP BY 1),
             f AS (SELECT string_split(path, '/')[1] AS repo, count(*) AS n_files, count(DISTINCT language) AS n_languages FROM files GROUP BY 1),
             e AS (SELECT string_split(path, '/')[1] AS repo, count(*) AS n_edges, count(*) FILTER (WHERE NOT is_relative) AS n_external FROM imp WHERE NOT is_stdlib GROUP BY 1)
             SELECT f.repo, n_files, n_languages, cyclomatic, maintainability, coalesce(n_edges, 0)::BIGINT AS n_edges, coalesce(n_external, 0)::BIGINT AS n_external FROM f LEFT JOIN cc USING (repo) LEFT JOIN e USING (repo)""",

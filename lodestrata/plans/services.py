@@ -87,7 +87,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'semantic_concepts', concept_type, count(*), round(avg(confidence), 6) FROM c GROUP BY 2 UNION ALL SELECT 'developer_patterns', pattern_type, count(*), round(avg(confidence), 6) FROM p GROUP BY 2""",
         "investigated_symbols": f"""WITH {analysis._BODIES}, py AS (SELECT symbol_id::VARCHAR AS path, body AS content, language FROM fb), {analysis._halstead_sql()}, lo AS ({analysis._loc_sql('py')}),
             m0 AS (SELECT hv.path, hv.volume, r.code AS code, {analysis._cyclomatic_sql('hv.content', 'python')} AS cyc, {analysis._cognitive_sql('hv.content')} AS cog FROM hv JOIN lo ON lo.path = hv.path),
-            m AS (SELECT fb.symbol_id, fb.name, cyc, cog, round(round({analysis._MI}, 4), 2) AS mi FROM m0 JOIN fb ON fb.symbol_id::VARCHAR = m0.path)
+            m AS (SELECT fb.symbol_id, fb.name, cyc, cog, round(round({analysis._MI}, 4)::DECIMAL(18, 4), 2)::DOUBLE AS mi FROM m0 JOIN fb ON fb.symbol_id::VARCHAR = m0.path)
             SELECT symbol_id, name, {paths._STYLE} AS style, cyc AS cyclomatic, {analysis._level_sql('cyc', (10, 20, 50))} AS cyclomatic_level, cog AS cognitive, {analysis._level_sql('cog', (5, 15, 25))} AS cognitive_level, mi AS maintainability FROM m""",
         "contributed_insights": f"SELECT id, insight_type, title, description, suggested_action, confidence::DOUBLE AS confidence, status FROM {insight_rows}",
         "unresolved_insights": "SELECT * FROM (VALUES ('1', 'pending'), ('2', 'acknowledged')) AS v(id, status)",
