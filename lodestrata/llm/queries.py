@@ -62,17 +62,22 @@ def p1_pairs(spark: SparkSession, directory: str) -> DataFrame:
     lines = found.select("path", "first", F.explode(F.sequence("first", F.col("line"))).alias("line"))
     known = symbols.join(lines, ["path", "line"]).groupBy("path", "first").agg(F.min(F.struct("symbol_id", "signature", "context", "docstring")).alias("s"))
     matched = symbols.join(lines.select("path", "line").distinct(), ["path", "line"], "left_semi").select("symbol_id")
-    of_files = found.join(known, ["path", "first"], "left").select(
+    # The code, which is most of the bytes, joins at the end.
+    heads = found.select("path", "first", "last", "name", "doc", "in_broken_file", F.substring_index("code", "\n", 1).alias("head"))
+    of_files = heads.join(known, ["path", "first"], "left").select(
         F.when(F.col("s").isNull(), "files").otherwise("symbols").alias("table_name"), F.col("s.symbol_id").cast("string").alias("record_id"), "path", "first", "last", "name",
-        F.coalesce("s.signature", F.substring_index("code", "\n", 1)).alias("signature"), "s.context", F.coalesce("s.docstring", "doc").alias("doc"), "code", "in_broken_file",
+        F.coalesce("s.signature", "head").alias("signature"), "s.context", F.coalesce("s.docstring", "doc").alias("doc"), "in_broken_file",
     )
     nowhere = [F.lit(None).cast(t).alias(n) for n, t in (("path", "string"), ("first", "int"), ("last", "int"))] + [F.lit(None).cast("boolean").alias("in_broken_file")]
     alone = symbols.join(matched, "symbol_id", "left_anti").select(
-        F.lit("symbols").alias("table_name"), F.col("symbol_id").cast("string").alias("record_id"), "name", "signature", "context", F.col("docstring").alias("doc"), F.coalesce("signature", "name").alias("code"), *nowhere
+        F.lit("symbols").alias("table_name"), F.col("symbol_id").cast("string").alias("record_id"), "name", "signature", "context", F.col("docstring").alias("doc"), *nowhere
     )
-    concepts = _function_concepts(spark, directory).withColumn("code", F.coalesce("signature", "name")).select("*", *nowhere)
+    concepts = _function_concepts(spark, directory).select("*", *nowhere)
     judged = docpairs.judge(of_files.unionByName(alone).unionByName(concepts)).where("informative")
-    return judged.select("table_name", "record_id", "path", F.col("first").alias("first_line"), F.col("last").alias("last_line"), "name", "code", "description", "in_broken_file")
+    common = ["table_name", "record_id", "path", F.col("first").alias("first_line"), F.col("last").alias("last_line"), "name"]
+    with_code = judged.where("path IS NOT NULL").join(found.select("path", "first", "last", "name", "code"), ["path", "first", "last", "name"]).select(*common, "code", "description", "in_broken_file")
+    without = judged.where("path IS NULL").select(*common, F.coalesce("signature", "name").alias("code"), "description", "in_broken_file")
+    return with_code.unionByName(without)
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
