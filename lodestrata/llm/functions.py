@@ -71,6 +71,7 @@ _SCAN["ts"] = _SCAN["js"]
 _GROUP = {"(": "P", "[": "A", "{": "B"}
 _PARTNER = {")": "(", "]": "[", "}": "{"}
 _LINES = re.compile(r"\r\n|\r|\n")
+_BLANKS = re.compile(r"[^\S\n\r]*")
 
 
 @dataclass(frozen=True)
@@ -168,7 +169,8 @@ class _Reader:
                         top = stack[-1]
                 top.add("D" if kind == "D" else "F" if word in _BEGINS else "Q" if word in no_head else "W", start, end)
             elif kind == "open":
-                top = _Open(match.group(), start, self.indent_of(start))
+                sign = match.group()
+                top = _Open(sign, start, self.indent_of(start) if by_layout and sign == "{" else -1)
                 stack.append(top)
             elif kind == "close":
                 partner = _PARTNER[match.group()]
@@ -241,13 +243,10 @@ class _Reader:
         if doc_to > doc_from:
             doc = self.text[spans[k + doc_from][0] : spans[k + doc_from][1]].strip()
         word = _word_of(stretch, head)
-        if spans[k + word][0] < 0:
-            return
         # A run of words may begin on the line of something else, so the head begins where its last line does.
-        last_word = self.text[: spans[k + word][1]]
-        line = self.line_of(len(last_word.rstrip()) - 1)
-        at = self.starts[line - 1]
-        at += len(self.text[at:end]) - len(self.text[at:end].lstrip())
+        begin, stop = spans[k + word]
+        line = self.line_of(begin + len(self.text[begin:stop].rstrip()) - 1)
+        at = _BLANKS.match(self.text, self.starts[line - 1]).end()
         if around.at and around.bracket and at <= around.at:
             at = spans[k + word][0]
         first = spans[k + decorators][0] if decorators < head and stretch[decorators] == "D" else at
